@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import fmindex, mixing, repetition, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_suffix_repetition": repetition.op2_suffix_repetition,
+    "op4_systematic_mix": mixing.op4_systematic_mix,
+    "op9_fm_decontamination": fmindex.op9_fm_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op4_systematic_mix": mixing.OP4_SQL,
+}
