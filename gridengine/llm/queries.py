@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import fmindex, mixing, repetition, simhash
+from . import chat, fmindex, html, mixing, repetition, simhash, tokens
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_suffix_repetition": repetition.op2_suffix_repetition,
     "op4_systematic_mix": mixing.op4_systematic_mix,
+    "op5_site_templates": html.op5_site_templates,
+    "op7_chat_windows": chat.op7_chat_windows,
+    "op8_edit_counts": tokens.op8_edit_counts,
     "op9_fm_decontamination": fmindex.op9_fm_decontamination,
 }
 
