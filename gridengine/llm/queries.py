@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fmindex, html, mixing, repetition, simhash, tokens
+from . import chat, fmindex, html, mixing, pii, repetition, simhash, tokens
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_chat_windows": chat.op7_chat_windows,
     "op8_edit_counts": tokens.op8_edit_counts,
     "op9_fm_decontamination": fmindex.op9_fm_decontamination,
+    "op10_private_spans": pii.op10_private_spans,
 }
 
 ORACLE_SQL = {
