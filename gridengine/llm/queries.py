@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, fmindex, html, mixing, pii, repetition, simhash, tokens
+from . import chat, cotrain, fmindex, html, mixing, pii, repetition, simhash, tokens
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_suffix_repetition": repetition.op2_suffix_repetition,
+    "op3_cotraining": cotrain.op3_cotraining,
     "op4_systematic_mix": mixing.op4_systematic_mix,
     "op5_site_templates": html.op5_site_templates,
     "op7_chat_windows": chat.op7_chat_windows,
