@@ -62,7 +62,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     del df
     gc.collect()
     jvm.System.gc()
-    return spark.read.schema(schema).parquet(at)
+    found = spark.read.schema(schema).parquet(at)
+    found._stored_at = at
+    return found
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a stored table that nothing reads any more."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_table(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
@@ -97,7 +106,7 @@ def ids64(words: list[bytes], seen: dict[bytes, int], limit: int = 200_000) -> n
     except KeyError:
         if len(seen) > limit:
             seen.clear()
-        for w in set(words) - seen.keys():
+        for w in [w for w in set(words) if w not in seen]:
             seen[w] = xxh64_intdigest(w, 7)
         return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, cotrain, fmindex, html, mixing, pii, repetition, simhash, tokens
+from . import chat, cotrain, fmindex, html, mixing, pii, repetition, simhash, substring, tokens
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_cotraining": cotrain.op3_cotraining,
     "op4_systematic_mix": mixing.op4_systematic_mix,
     "op5_site_templates": html.op5_site_templates,
+    "op6_suffix_automata": substring.op6_suffix_automata,
     "op7_chat_windows": chat.op7_chat_windows,
     "op8_edit_counts": tokens.op8_edit_counts,
     "op9_fm_decontamination": fmindex.op9_fm_decontamination,
