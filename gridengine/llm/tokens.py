@@ -47,7 +47,7 @@ class Counter:
         seen = self.seen
         if len(seen) > REMEMBERED:
             seen.clear()
-        for p in set(pieces) - seen.keys():
+        for p in [p for p in set(pieces) if p not in seen]:
             seen[p] = len(self.encoding.encode_ordinary(p))
         return [seen[p] for p in pieces]
 
