@@ -1,0 +1,33 @@
+"""Spark rows against DuckDB rows over the same parquet tables."""
+
+import glob
+import math
+import os
+
+import duckdb
+
+
+def views(sf):
+    con = duckdb.connect()
+    for p in glob.glob(f"{sf}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM read_parquet('{p + '/*.parquet' if os.path.isdir(p) else p}')")
+    return con
+
+
+def rows(columns, values):
+    by = sorted(range(len(columns)), key=lambda i: columns[i])
+    norm = lambda v: round(v, 9) if isinstance(v, float) and math.isfinite(v) else v
+    return sorted((tuple(norm(r[i]) for i in by) for r in values), key=repr), sorted(columns)
+
+
+def compare(df, sf, sql):
+    """None, or what differs."""
+    cur = views(sf).execute(sql)
+    want = rows([d[0] for d in cur.description], cur.fetchall())
+    got = rows(df.columns, [tuple(r) for r in df.collect()])
+    if got[1] != want[1]:
+        return f"columns {got[1]} {want[1]}"
+    if got[0] != want[0]:
+        a, b = [x for x in got[0] if x not in set(want[0])][:3], [x for x in want[0] if x not in set(got[0])][:3]
+        return f"{len(got[0])} rows against {len(want[0])}: {a} {b}"
+    return None if got[0] else "no rows"
