@@ -26,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group linked by SimHash."""
+    """The document with the smallest id of each near-duplicate group: SimHash links, and similar shingles (five words, 0.8)."""
     return simhash.deduplicated(docs)
 
 

@@ -1,10 +1,14 @@
 """SimHash near-duplicate groups by pigeonhole blocks.
 
-A fingerprint is cut into ``distance + 2`` blocks; two fingerprints within ``distance`` bits agree on at
-least two of them, so every close pair meets under at least one key (two block numbers and their bits).
+A fingerprint is cut into more blocks than ``distance``; two fingerprints within ``distance`` bits agree on all
+blocks but that many, so every close pair meets under at least one key (block numbers and their bits).
 Only distinct fingerprints are joined. A key's group is cut into chunks of at most ``CHUNK`` rows, and each pair of chunks is one
 group of at most twice that, whatever the key's share of the data; a group gives a spanning forest of its
 close pairs, never all of them. Components come from alternating star contractions on written tables.
+
+A few bits of the shingles' fingerprint tell copies with few edits. For a similarity of shingles (0.8 of five words),
+representatives of those groups meet again on fingerprints of their sets of words, which edits change less, and the
+similarity of the pairs of a nearest forest is verified.
 """
 
 from __future__ import annotations
@@ -22,6 +26,10 @@ from .common import LOWER, mapped, popcount, stored, text_table, texts
 
 #: Rows of a chunk of a key's group.
 CHUNK = 4096
+#: Bits by which word-set fingerprints of similar texts may differ, and the blocks that they are cut into.
+WORD_DISTANCE, WORD_BLOCKS = 6, 9
+#: Hashes of a text's shingles that its sketch keeps, the smallest; texts with no more shingles are compared exactly.
+SKETCH = 512
 
 
 def fingerprint(text: bytes, shingle: int = 4) -> int:
@@ -47,15 +55,50 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(id long, fp long): the fingerprint's 64 bits as a signed long. A null text has no words."""
+def word_set_fingerprint(text: bytes) -> int:
+    """As ``fingerprint``, over the different lower-cased words."""
+    words = set(text.translate(LOWER).split())
+    if not words:
+        return 0
+    h = np.array([xxh64_intdigest(w, 42) for w in words], np.uint64)
+    counts = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(h), bitorder="little").tobytes(), "little")
+
+
+def sketch(text: bytes, shingle: int = 5, size: int = SKETCH) -> np.ndarray:
+    """The smallest hashes of the different shingles of the whole text, sorted."""
+    words = text.translate(LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    n = max(1, len(words) - shingle + 1)
+    h = np.unique(np.array([xxh64_intdigest(joined[a:b], 17) for a, b in zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist())], np.uint64))
+    return h[:size]
+
+
+def resemblance(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
+    """Share of common shingles, from two sketches; exact if both texts have at most ``size``. Two texts without words are the same."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    union = np.union1d(a, b)
+    if len(a) == size or len(b) == size:
+        union = union[:size]
+    return float(np.isin(union, a[np.isin(a, b, assume_unique=True)], assume_unique=True).sum() / len(union))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, word_sets: bool = False) -> DataFrame:
+    """(id long, fp long): the fingerprint's 64 bits as a signed long; ``words``, the word set's, if asked for. A null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t, shingle) for t in texts(b)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.int64()), pa.array(fps, pa.int64())], ["id", "fp"])
+            own = texts(b)
+            kinds = [[fingerprint(t, shingle) for t in own]] + ([[word_set_fingerprint(t) for t in own]] if word_sets else [])
+            columns = [pa.array(np.array(k, np.uint64).view(np.int64), pa.int64()) for k in kinds]
+            yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.int64()), *columns], ["id", "fp", "words"][: 1 + len(kinds)])
 
-    return mapped(text_table(docs, id_col, text_col), run, "id long, fp long")
+    return mapped(text_table(docs, id_col, text_col), run, "id long, fp long" + ", words long" * word_sets)
 
 
 def forest(fps: np.ndarray, nodes: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +123,29 @@ def forest(fps: np.ndarray, nodes: np.ndarray, distance: int) -> tuple[np.ndarra
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
 
 
-def _group_edges(distance: int):
+def nearest_forest(fps: np.ndarray, nodes: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``forest``, with the shortest edges: each node hangs on the nearest of those before it (Prim)."""
+    n = len(fps)
+    far, parent, left = np.full(n, 255, np.uint8), np.full(n, -1), np.ones(n, bool)
+    a, b = [], []
+    at = 0
+    for _ in range(n):
+        left[at] = False
+        if far[at] <= distance:
+            a.append(nodes[parent[at]])
+            b.append(nodes[at])
+        d = popcount(fps ^ fps[at])
+        closer = left & (d < far)
+        far[closer], parent[closer] = d[closer], at
+        rest = np.where(left, far, 255)
+        at = int(rest.argmin()) if left.any() else at
+        if not left[at]:
+            at = int(left.argmax())
+    a, b = np.array(a, np.int64), np.array(b, np.int64)
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _group_edges(distance: int, nearest: bool = False):
     """Edges within runs of equal keys of partitions sorted by key; one run at a time is held."""
 
     def small(key: np.ndarray, fps: np.ndarray, nodes: np.ndarray, begins: np.ndarray, size: np.ndarray):
@@ -115,7 +180,7 @@ def _group_edges(distance: int):
             edges = list(small(key, fps, nodes, begins, size))
             for k in np.flatnonzero(sizes > 8):
                 s = slice(begins[k], begins[k] + sizes[k])
-                edges.append(forest(fps[s], nodes[s], distance))
+                edges.append((nearest_forest if nearest else forest)(fps[s], nodes[s], distance))
             a, b = (np.concatenate(x) for x in zip(*edges)) if edges else (np.zeros(0, np.int64),) * 2
             pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
@@ -131,10 +196,13 @@ def _group_edges(distance: int):
     return run
 
 
-def links(nodes: DataFrame, distance: int = 4, chunk: int = CHUNK) -> DataFrame:
-    """(u, v): enough of the pairs within ``distance`` of the table (node long, fp long) of distinct
-    fingerprints to connect all that are connected by such pairs."""
-    blocks = distance + 2
+def links(nodes: DataFrame, distance: int = 4, blocks: int | None = None, nearest: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """(u, v): enough of the pairs within ``distance`` of the table (node long, fp long) to connect all that are
+    connected by such pairs; ``nearest``: the shortest of them within each group.
+
+    Of ``blocks`` (by default two more than ``distance``) all but ``distance`` make a key; more blocks give more and longer keys, for more rows.
+    """
+    blocks = blocks or distance + 2
     edges = [round(64 * k / blocks) for k in range(blocks + 1)]
     cut = [(edges[k], edges[k + 1] - edges[k]) for k in range(blocks)]
 
@@ -142,19 +210,24 @@ def links(nodes: DataFrame, distance: int = 4, chunk: int = CHUNK) -> DataFrame:
         at, width = cut[k]
         return F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1))
 
-    keys = [F.shiftleft(F.shiftleft(bits(i), cut[j][1]).bitwiseOR(bits(j)), 8).bitwiseOR(F.lit(n).cast("long")) for n, (i, j) in enumerate(itertools.combinations(range(blocks), 2))]
+    keys = []
+    for n, chosen in enumerate(itertools.combinations(range(blocks), blocks - distance)):
+        key = F.lit(n).cast("long")
+        for k in chosen:
+            key = F.shiftleft(key, cut[k][1]).bitwiseOR(bits(k))
+        keys.append(key)
     rows = nodes.select("node", "fp", F.explode(F.array(*keys)).alias("g"))
     shared = stored(rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "simhash-keys")
     parts = F.ceil(F.col("n") / F.lit(chunk)).cast("int")
     dealt = (
         rows.join(shared, "g")
         .withColumn("parts", parts)
-        .withColumn("c", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+        .withColumn("c", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         .select("g", "node", "fp", "c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
         .select("g", "node", "fp", F.least("c", "other").alias("ci"), F.greatest("c", "other").alias("cj"))
     )
     together = dealt.repartition("g", "ci", "cj").sortWithinPartitions("g", "ci", "cj", "node")
-    return mapped(together, _group_edges(distance), "u long, v long").distinct()
+    return mapped(together, _group_edges(distance, nearest), "u long, v long").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
@@ -194,12 +267,52 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(known, "fp", "left").select("id", "fp", "component")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
-    """``docs`` without the rows whose id is not the smallest of their group; of rows that share an id one stays.
+def verified(pairs: DataFrame, docs: DataFrame, similarity: float, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """The pairs (u, v) of ids whose texts share at least ``similarity`` of their shingles, by sketches made once per text."""
+    ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.int64()), pa.array([sketch(t, shingle).tobytes() for t in texts(b)], pa.binary())], ["id", "sketch"])
+
+    own = stored(mapped(text_table(docs, id_col, text_col).join(ids, "id", "left_semi"), sketched, "id long, sketch binary").dropDuplicates(["id"]), "simhash-sketches")
+    side = lambda s: own.select(F.col("id").alias(s), F.col("sketch").alias(f"{s}_sketch"))
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sides = ([np.frombuffer(x, np.uint64) for x in b.column(f"{s}_sketch").to_pylist()] for s in "uv")
+            same = pa.array([resemblance(x, y) >= similarity for x, y in zip(*sides)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], ["u", "v"]).filter(same)
+
+    return mapped(pairs.join(side("u"), "u").join(side("v"), "v"), compared, "u long, v long")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, fp, component) as ``near_duplicates``, with links also between representatives of its groups that share at least
+    ``similarity`` of their shingles of ``shingle`` words.
+
+    Candidates are pairs of word-set fingerprints within ``WORD_DISTANCE`` bits; every candidate edge of the nearest forests is verified.
+    """
+    fps = stored(fingerprints(docs, id_col, text_col, 4, word_sets=True), "simhash-fps")
+    nodes = stored(fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("node")), "simhash-nodes")
+    close = nodes.join(components(links(nodes)), "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
+    close = stored(close, "simhash-close")
+    heads = close.select(F.col("component").alias("id")).distinct().join(fps.where("id is not null").groupBy("id").agg(F.min("words").alias("fp")), "id")
+    heads = stored(heads.select(F.col("id").alias("node"), "fp"), "simhash-heads")
+    pairs = stored(links(heads, WORD_DISTANCE, WORD_BLOCKS, nearest=True), "simhash-pairs")
+    merged = components(verified(pairs, docs, similarity, id_col, text_col, shingle)).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    known = stored(close.join(merged, "component", "left").select("fp", F.coalesce("whole", "component").alias("component")), "simhash-known")
+    return fps.join(known, "fp", "left").select("id", "fp", "component")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = 0.8) -> DataFrame:
+    """``docs`` without the rows whose id is not the smallest of their group (``similar_groups``; without ``similarity``, ``near_duplicates``);
+    of rows that share an id one stays.
 
     Rows with a null id stay. All columns are kept.
     """
-    groups = stored(near_duplicates(docs, id_col, text_col, shingle, distance), "simhash-groups")
+    groups = near_duplicates(docs, id_col, text_col) if similarity is None else similar_groups(docs, id_col, text_col, similarity=similarity)
+    groups = stored(groups, "simhash-groups")
     gone = groups.where("id <> component").select(F.col("id").alias(id_col)).distinct()
     kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
     again = groups.where("id = component").groupBy(F.col("id").alias(id_col)).count().where("count > 1").select(id_col)

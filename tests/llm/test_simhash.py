@@ -67,6 +67,56 @@ def test_links_lose_no_component(spark, chunk):
     assert [got.get(i, i) for i in range(len(fps))] == want
 
 
+def test_nearest_forest_is_a_minimum_spanning_forest():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        base = rng.integers(0, 1 << 62, 4)
+        fps = np.array([int(b) ^ sum(1 << int(x) for x in rng.integers(0, 62, rng.integers(0, 6))) for b in base for _ in range(8)], np.uint64)
+        u, v = simhash.nearest_forest(fps, np.arange(len(fps)), 6)
+        d = lambda a, b: (int(fps[a]) ^ int(fps[b])).bit_count()
+        parent, total, n = list(range(len(fps))), 0, 0
+
+        def root(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for a, b in sorted(((a, b) for b in range(len(fps)) for a in range(b)), key=lambda p: d(*p)):
+            if d(a, b) <= 6 and root(a) != root(b):
+                parent[root(a)] = root(b)
+                total, n = total + d(a, b), n + 1
+        assert (len(u), sum(d(int(a), int(b)) for a, b in zip(u, v))) == (n, total)
+
+
+def test_similar_texts_are_found_and_others_left(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(4000)]
+    text = lambda n: [words[k] for k in rng.integers(0, 4000, n)]
+    docs, source = [], {}
+    for k in range(40):
+        base = text(300)
+        docs.append((100 * k, " ".join(base)))
+        for j in range(1, 6):
+            own = list(base)
+            for at in rng.integers(0, 300, 4):
+                own[at] = words[rng.integers(0, 4000)]
+            source[100 * k + j] = 100 * k
+            docs.append((100 * k + j, " ".join(own)))
+    shingles = {i: {tuple(t.split()[k : k + 5]) for k in range(296)} for i, t in docs}
+    alike = {i for i, s in source.items() if len(shingles[i] & shingles[s]) / len(shingles[i] | shingles[s]) >= 0.8}
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.deduplicated(d).collect()}
+    assert all(100 * k in kept for k in range(40))
+    assert len(alike) > 150 and len(alike & kept) <= 0.06 * len(alike)
+    for i, t in docs[:20]:
+        whole = simhash.sketch(t.encode())
+        assert len(whole) == len(shingles[i])
+    a, b = docs[0], docs[1]
+    assert abs(simhash.resemblance(simhash.sketch(a[1].encode()), simhash.sketch(b[1].encode())) - len(shingles[a[0]] & shingles[b[0]]) / len(shingles[a[0]] | shingles[b[0]])) < 1e-9
+    long = " ".join(text(6000))
+    assert abs(simhash.resemblance(simhash.sketch(long.encode()), simhash.sketch((long + " " + " ".join(text(1500))).encode())) - 0.8) < 0.06
+
+
 def test_chain_of_links(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(400, 401)], "u long, v long")
     got = dict(tuple(r) for r in simhash.components(edges).collect())
