@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import address as A
 from ..functions import text as X
 from ..functions.formula import relative_udf, scan_udf, shifted_udf
-from ..operators import cashflow, collection, extract, graph, locate, rangejoin, search, summarise
+from ..operators import cashflow, collection, extract, graph, locate, rangejoin, region_edges, search, summarise
 from ..sources.lift import lift, placed, sheets_of
 from ..sources.schema import NAMES, value_text
 from .workspace import Workspace
@@ -536,6 +536,54 @@ def q_book_stats(spark, sf_dir):
     return b.select("book", F.col("sheets").cast("long").alias("sheets"), F.col("cells").cast("long").alias("cells"), F.col("regions").cast("long").alias("regions"))
 
 
+def _named_edges(ws: Workspace, edges: DataFrame) -> DataFrame:
+    names = ws.regions.select("book", "region_id", "range_a1")
+    for end in ("src", "dst"):
+        edges = edges.join(names.select("book", F.col("region_id").alias(end), F.col("range_a1").alias(f"{end}_a1")), ["book", end])
+    return edges.select(F.col("src_a1").alias("src"), F.col("dst_a1").alias("dst"), "type", "weight")
+
+
+@query(
+    "WITH n AS (SELECT (SELECT count(*) FROM nation) AS a, (SELECT count(*) FROM region) AS b, (SELECT count(*) FROM supplier) AS c), "
+    "r AS (SELECT 'layout!A1:C' || (a + 1) AS x, 1 AS r0, a + 1 AS r1, 1 AS c0, 3 AS c1 FROM n UNION ALL SELECT 'layout!F1:G' || (b + 1), 1, b + 1, 6, 7 FROM n UNION ALL SELECT 'layout!A30:D' || (c + 30), 30, c + 30, 1, 4 FROM n) "
+    "SELECT p.x AS src, q.x AS dst, CASE WHEN greatest(p.r0, q.r0) - least(p.r1, q.r1) <= 3 AND greatest(p.c0, q.c0) - least(p.c1, q.c1) <= 3 THEN 'spatial' ELSE 'sheet' END AS type, "
+    "CASE WHEN greatest(p.r0, q.r0) - least(p.r1, q.r1) <= 3 AND greatest(p.c0, q.c0) - least(p.c1, q.c1) <= 3 THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END AS weight FROM r p, r q WHERE p.x <> q.x"
+)
+def q_adjacency(spark, sf_dir):
+    w = _workspace(spark, sf_dir, "side_by_side")
+    return _named_edges(w, region_edges.sheet_edges(w))
+
+
+def _shared_layout(spark: SparkSession, sf_dir: str) -> Workspace:
+    """Customers by segment on two sheets, and nations: two tables with the same headers and one without."""
+    c = _table(spark, sf_dir, "customer")
+    part = lambda sheet, low: lift(c.where((F.col("c_acctbal") < 0) == F.lit(low)), sheet, ["c_custkey"], columns=COLUMNS["customer"])
+    return Workspace.lifted(spark, part("owing", True), part("owed", False), _lifted(spark, sf_dir, "nation"))
+
+
+LAYOUTS["shared_headers"] = _shared_layout
+
+
+@query(
+    "WITH n AS (SELECT 'owing!A1:E' || (count(*) FILTER (c_acctbal < 0) + 1) AS a, 'owed!A1:E' || (count(*) FILTER (c_acctbal >= 0) + 1) AS b FROM customer) "
+    "SELECT a AS src, b AS dst, 'semantic' AS type, 0.6::DOUBLE AS weight FROM n UNION ALL SELECT b, a, 'semantic', 0.6 FROM n"
+)
+def q_shared_headers(spark, sf_dir):
+    w = _workspace(spark, sf_dir, "shared_headers")
+    return _named_edges(w, region_edges.header_edges(w))
+
+
+@query("SELECT 'calc' AS src, unnest(['supplier', 'part']) AS dst, unnest([(SELECT count(*) FROM nation) + (SELECT count(*) FROM nation WHERE n_nationkey <= (SELECT count(*) FROM supplier)), (SELECT count(*) FROM nation)]) AS n")
+def q_region_formula_edges(spark, sf_dir):
+    """How many references of the calc sheet's region go into each table's region."""
+    w = _workspace(spark, sf_dir, "formulas")
+    e = region_edges.formula_edges(w).withColumn("n", F.regexp_extract("why", r"^(\d+)", 1).cast("long"))
+    names = w.regions.select("book", "region_id", "sheet")
+    for end in ("src", "dst"):
+        e = e.join(names.select("book", F.col("region_id").alias(end), F.col("sheet").alias(f"{end}_sheet")), ["book", end])
+    return e.select(F.col("src_sheet").alias("src"), F.col("dst_sheet").alias("dst"), "n")
+
+
 # ---- questions, texts ---------------------------------------------------------------------------------------------
 
 

@@ -51,6 +51,13 @@ class Workspace:
             whole = whole.unionByName(c)
         return cls(spark, whole)
 
+    def union(self, other: Workspace) -> Workspace:
+        """Both sets of books as one, this one's first; names of books must differ, whatever their case."""
+        if clash := {b.lower() for b in self.order} & {b.lower() for b in other.order}:
+            raise ValueError(f"there is already a workbook named {', '.join(sorted(clash))}")
+        both = lambda t: getattr(self, t).unionByName(getattr(other, t))
+        return Workspace(self.spark, both("cells"), both("sheets"), both("names"), both("merges"), both("parsed"), self.order + other.order)
+
     @cached_property
     def order(self) -> list[str]:
         """Books in order; without a given one, by name."""

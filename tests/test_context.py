@@ -73,3 +73,15 @@ def test_packet_across_books(three):
 def test_same_name_twice_is_refused(spark):
     with pytest.raises(ValueError):
         Workspace.load(spark, ["a/x.xlsx", "b/X.xlsx"])
+
+
+def test_region_edges_and_union(spark, sample, three, tmp_path):
+    from gridengine.operators import region_edges
+
+    got = {(r.src, r.dst, r.type) for r in region_edges.region_edges(sample).collect()}
+    assert ("rg_l2zijg", "rg_1hqooki", "formula") in got and ("rg_1hqooki", "rg_b9u3gj", "spatial") in got
+    both = Workspace.load(spark, made.write(tmp_path / "other.xlsx", [made.Sheet("S").put("A1", 1, "[targets.xlsx]Targets!B7")])).union(three)
+    assert both.order[0] == "other.xlsx" and [u["book"] for u in collection.overview(both)["sharedNames"][0]["uses"]] == ["sales-2026.xlsx", "targets.xlsx"]
+    assert [(g["from_book"], g["to_book"]) for g in collection.overview(both)["formulaLinks"]][0] == ("other.xlsx", "targets.xlsx")
+    with pytest.raises(ValueError):
+        both.union(three)
