@@ -4,14 +4,17 @@ import shutil
 import pytest
 
 from gridengine import cli
+from gridengine.plans.workspace import Workspace
 from gridengine.streaming import ingest
 
 from .support import xlsx as made
 
 
-@pytest.fixture(scope="module")
-def sample(tmp_path_factory):
-    return made.sample(tmp_path_factory.mktemp("x") / "sample.xlsx")
+@pytest.fixture(autouse=True)
+def loaded_once(monkeypatch, sample_file, sample, three_files, three):
+    """The fixtures' books are read and their regions found once; other files are loaded as ever."""
+    known, load = {sample_file: sample, tuple(three_files): three}, Workspace.load
+    monkeypatch.setattr(cli.Workspace, "load", lambda spark, paths: known.get(paths[0] if len(paths) == 1 else tuple(paths)) or load(spark, paths))
 
 
 @pytest.mark.parametrize(
@@ -30,21 +33,21 @@ def sample(tmp_path_factory):
         (["find", "^north$", "--regex", "--limit", "1"], ["Sales!B4  North  [string]"]),
     ],
 )
-def test_commands(spark, sample, capsys, argv, want):
-    assert cli.main([argv[0], sample, *argv[1:]], spark) == 0
+def test_commands(spark, sample_file, capsys, argv, want):
+    assert cli.main([argv[0], sample_file, *argv[1:]], spark) == 0
     said = capsys.readouterr().out
     assert all(w in said for w in want), said
 
 
-def test_locate_json_and_errors(spark, sample, capsys):
-    assert cli.main(["locate", "which rates are hidden?", sample, "--json"], spark) == 0
+def test_locate_json_and_errors(spark, sample_file, capsys):
+    assert cli.main(["locate", "which rates are hidden?", sample_file, "--json"], spark) == 0
     assert json.loads(capsys.readouterr().out)[0]["range_a1"] == "Rates!A1:B5"
-    assert cli.main(["inspect", sample, "Nowhere!A1"], spark) == 1 and 'sheet "Nowhere" not found' in capsys.readouterr().err
+    assert cli.main(["inspect", sample_file, "Nowhere!A1"], spark) == 1 and 'sheet "Nowhere" not found' in capsys.readouterr().err
     assert cli.main(["load", "missing.xlsx"], spark) == 1 and "file not found" in capsys.readouterr().err
 
 
-def test_collection(spark, tmp_path, capsys):
-    files = made.collection(tmp_path)
+def test_collection(spark, three_files, capsys):
+    files = three_files
     assert cli.main(["collection", *files, "--links"], spark) == 0
     said = capsys.readouterr().out
     assert "NOT LOADED" in said and "GrandTotal" in said and "4 shared" in said
@@ -52,10 +55,10 @@ def test_collection(spark, tmp_path, capsys):
     assert "[sales-2026.xlsx]Sales!D15" in capsys.readouterr().out
 
 
-def test_stream_keeps_the_latest_file(spark, sample, tmp_path):
+def test_stream_keeps_the_latest_file(spark, sample_file, tmp_path):
     folder, target, state = tmp_path / "in", str(tmp_path / "cells"), str(tmp_path / "state")
     folder.mkdir()
-    shutil.copy(sample, folder / "a.xlsx")
+    shutil.copy(sample_file, folder / "a.xlsx")
     ingest.ingest(spark, str(folder), target, state).awaitTermination(120)
     assert spark.read.parquet(target).where("book = 'a.xlsx'").count() > 200
     made.write(tmp_path / "new.xlsx", [made.Sheet("S").put("A1", 1)])

@@ -7,16 +7,6 @@ from gridengine.plans.workspace import Workspace
 from .support import xlsx as made
 
 
-@pytest.fixture(scope="module")
-def sample(spark, tmp_path_factory):
-    return Workspace.load(spark, made.sample(tmp_path_factory.mktemp("x") / "sample.xlsx"))
-
-
-@pytest.fixture(scope="module")
-def three(spark, tmp_path_factory):
-    return Workspace.load(spark, made.collection(tmp_path_factory.mktemp("c")))
-
-
 def test_packet(sample):
     p = diffuse.expand(sample, "Summary!C2")
     assert p["seed"] == "Summary!C2" and [r["regionId"] for r in p["regions"]][:2] == ["rg_l2zijg", "rg_1hqooki"]

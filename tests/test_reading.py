@@ -7,16 +7,6 @@ from gridengine.plans.workspace import Workspace
 from .support import xlsx as made
 
 
-@pytest.fixture(scope="module")
-def sample(spark, tmp_path_factory):
-    return Workspace.load(spark, made.sample(tmp_path_factory.mktemp("x") / "sample.xlsx"))
-
-
-@pytest.fixture(scope="module")
-def zoom(spark, tmp_path_factory):
-    return Workspace.load(spark, made.zoom(tmp_path_factory.mktemp("x") / "zoom.xlsx"))
-
-
 def region(ws, a1):
     return ws.regions.where(F.col("range_a1") == a1).first()
 

@@ -11,16 +11,6 @@ from gridengine.sources.lift import lift
 from .support import xlsx as made
 
 
-@pytest.fixture(scope="module")
-def sample(spark, tmp_path_factory):
-    return Workspace.load(spark, made.sample(tmp_path_factory.mktemp("x") / "sample.xlsx"))
-
-
-@pytest.fixture(scope="module")
-def zoom(spark, tmp_path_factory):
-    return Workspace.load(spark, made.zoom(tmp_path_factory.mktemp("x") / "zoom.xlsx"))
-
-
 def flood(cells):
     left, out = set(cells), []
     while left:
