@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Regular expression of a word, for Spark's own functions.
 WORD = r"[^\x20\x09-\x0D]+"
+#: DuckDB: the list of a text's words.
+SQL_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 #: A-Z to a-z, everything else as it is.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 REPO = str(Path(__file__).resolve().parents[2])

@@ -18,5 +18,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_suffix_repetition": repetition.OP2_SQL,
     "op4_systematic_mix": mixing.OP4_SQL,
+    "op6_suffix_automata": substring.OP6_SQL,
+    "op9_fm_decontamination": fmindex.OP9_SQL,
 }

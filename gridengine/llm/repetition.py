@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, text_table
+from .common import SQL_WORDS, mapped, text_table
 
 #: Words of the shortest repeat that counts.
 MIN_REPEAT = 8
@@ -164,4 +164,23 @@ def repetition_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def op2_suffix_repetition(spark, sf_dir: str) -> DataFrame:
     found = repetition_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.withColumnRenamed("id", "doc_id")
+    return found.withColumnRenamed("id", "doc_id").drop("longest_repeat")
+
+
+OP2_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, {SQL_WORDS} AS w FROM documents),
+eight AS (SELECT k, i, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT k, w, unnest(range(1, greatest(1, len(w) - 6))) AS i FROM d)),
+twice AS (SELECT k, i FROM eight QUALIFY count(*) OVER (PARTITION BY k, s) > 1),
+covered AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY k),
+lines AS (SELECT k, count(*) - count(DISTINCT l) AS n FROM (SELECT k, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY k),
+long33 AS (SELECT DISTINCT k FROM (SELECT k, array_to_string(w[i:i + 32], ' ') AS s FROM (SELECT k, w, unnest(range(1, greatest(1, len(w) - 31))) AS i FROM d)) GROUP BY k, s HAVING count(*) > 1),
+longest AS (SELECT DISTINCT k FROM (SELECT k, array_to_string(w[i:i + m - 1], ' ') AS s FROM (SELECT k, w, greatest(33, len(w) // 5 + 1) AS m, unnest(range(1, greatest(1, len(w) - greatest(33, len(w) // 5 + 1) + 2))) AS i FROM d JOIN long33 USING (k))) GROUP BY k, s HAVING count(*) > 1),
+measured AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(lines.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, longest.k IS NOT NULL AS too_long
+  FROM d LEFT JOIN covered USING (k) LEFT JOIN lines USING (k) LEFT JOIN longest USING (k)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT too_long AS kept
+FROM measured
+"""

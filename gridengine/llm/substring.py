@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, ids64, mapped, mixed, session, sliding_sums, stored, text_table
+from .common import SQL_WORDS, discard, ids64, mapped, mixed, session, sliding_sums, stored, text_table
 
 #: Words of a window; words of the grams whose smallest hash routes a window.
 WINDOW, GRAM = 20, 6
@@ -341,3 +341,13 @@ def without_reference(docs: DataFrame, reference: DataFrame, id_col: str = "doc_
 def op6_suffix_automata(spark, sf_dir: str) -> DataFrame:
     found = without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+OP6_SQL = rf"""
+WITH d AS (SELECT doc_id, {SQL_WORDS} AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 18))) AS i FROM d)),
+later AS (SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM later),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS t FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
