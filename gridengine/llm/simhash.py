@@ -217,11 +217,12 @@ def links(nodes: DataFrame, distance: int = 4, blocks: int | None = None, neares
             key = F.shiftleft(key, cut[k][1]).bitwiseOR(bits(k))
         keys.append(key)
     rows = nodes.select("node", "fp", F.explode(F.array(*keys)).alias("g"))
-    shared = stored(rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "simhash-keys")
-    parts = F.ceil(F.col("n") / F.lit(chunk)).cast("int")
+    # Only keys of very many rows are counted out; all rows are dealt, as many whatever the keys have in common.
+    hot = rows.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > chunk)
+    hot = stored(hot.select("g", F.ceil(F.col("n") / F.lit(chunk)).cast("int").alias("parts")), "simhash-hot")
     dealt = (
-        rows.join(shared, "g")
-        .withColumn("parts", parts)
+        rows.join(hot, "g", "left")
+        .withColumn("parts", F.coalesce("parts", F.lit(1)))
         .withColumn("c", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         .select("g", "node", "fp", "c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
         .select("g", "node", "fp", F.least("c", "other").alias("ci"), F.greatest("c", "other").alias("cj"))
