@@ -34,8 +34,11 @@ BLOCKS = frozenset(
 DROPPED = frozenset("head script style noscript template iframe object svg canvas audio video nav aside footer form button select option textarea input dialog menu search".split())
 #: Words of class, id or role by which an element says that it isn't text.
 LABELS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar cookie cookies consent notice notices alert popup modal newsletter subscribe signup login search share sharing social related recommended comment comments respond disqus pagination pager skip contentinfo complementary dialog".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar cookie cookies consent notice notices alert popup modal newsletter subscribe signup login search share sharing social related recommended comment comments commentlist respond disqus pagination pager skip contentinfo complementary dialog site-header".split()
 )
+#: Words that also tell at the end of a name, as in ``site-footer``; not in ``has-sidebar`` and its like.
+ENDINGS = frozenset("ad ads advert advertisement banner nav navbar navigation menu breadcrumbs sidebar footer cookie notice popup newsletter comments comment pagination".split())
+LAYOUT = frozenset("has no with without is hide show".split())
 #: Text of an article: a repeated one is no template.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote b i em strong a span code sub sup br td th tr dd dt li".split())
 _TAG = re.compile(
@@ -47,10 +50,10 @@ _SCOPE = frozenset("article main section div table ul ol dl body td th nav aside
 
 
 class Node:
-    __slots__ = ("tag", "label", "children", "hash", "inner")
+    __slots__ = ("tag", "label", "children", "hash", "inner", "heads")
 
     def __init__(self, tag: str, label: str = ""):
-        self.tag, self.label, self.children = tag, label, []
+        self.tag, self.label, self.children, self.heads = tag, label, [], False
 
 
 def parse(html: str) -> Node:
@@ -101,13 +104,15 @@ def parse(html: str) -> Node:
 
 
 def labelled(node: Node) -> bool:
+    """Whether an element says that it isn't the article's text; one around a main element or a first heading is layout."""
     if node.tag in DROPPED:
         return True
-    if not node.label:
+    if not node.label or node.heads:
         return False
     for part in node.label.lower().split("itemprop=")[0].split():
-        words = part.split("=")[-1]
-        if words in LABELS or not LABELS.isdisjoint(re.split(r"[-_]+", words)[:1]):
+        name = part.split("=")[-1]
+        words = re.split(r"[-_]+", name)
+        if name in LABELS or words[0] in LABELS or (words[-1] in ENDINGS and words[0] not in LAYOUT):
             return True
     return False
 
@@ -140,6 +145,7 @@ def content_roots(root: Node) -> list[Node]:
 def hashed(root: Node) -> None:
     """Sets each element's hash (tag, label, texts, children) and whether it is inside a content root."""
     for x in reversed(ordered(root)):
+        x.heads = x.tag not in DROPPED and any(isinstance(c, Node) and (c.tag in ("main", "h1") or c.heads) for c in x.children)
         parts = [f"{x.tag} {x.label}"]
         for c in x.children:
             if isinstance(c, Node):

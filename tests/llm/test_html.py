@@ -39,6 +39,8 @@ def test_whole_table_against_patterns(spark, sf):
         ("<main><header><nav>n</nav><h1>Head</h1>by me</header><p>p</p><section class='comments'><article>c</article></section></main>", "Head p"),
         ("<script>var a='</p><p>no';</script><style>p{}</style><p title='a>b'>yes</p><!-- <p>no</p> -->", "yes"),
         ("<p>a &lt;b&gt; &#233;&eacute;</p>", "a <b> éé"),
+        ("<div class='layout sidebar-right'><h1>T</h1><p>x</p><div class=left-sidebar>s</div></div><div class='site-footer'>f</div><div class='has-sidebar'>y</div>", "T x y"),
+        ("<article><h1>T</h1><p>x</p><div id=comments><article class=comment><h4>c</h4></article></div><ol class=commentlist><li>c</ol></article>", "T x"),
         ("<div " * 3 + "<p>broken", "broken"),
         ("<div>" * 3000 + "deep", "deep"),
     ],

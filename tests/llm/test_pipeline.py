@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from gridengine.llm import mixing, pii
 
@@ -55,3 +57,19 @@ def test_empty_documents(spark, sf):
     for _, stage in cp.STAGES:
         docs = stage(spark, docs, sf)
     assert docs.count() == 0
+
+
+def test_stages_take_odd_rows_and_clashing_columns(spark, sf):
+    base = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    odd = [(None, "a text without an id", "en", "src1", 20), (9001, None, None, None, None), (9002, "", "", "", 0), (9003, "word " * 40000, "en", "src1", 200000), (9004, "x@y.example.com twice", None, "src2", 5), (9004, "x@y.example.com twice", None, "src2", 5)]
+    docs = base.unionByName(spark.createDataFrame(odd, base.schema))
+    clash = ["id", "fp", "words", "component", "node", "count", "good", "view", "size", "key", "class", "salt", "place", "copies", "copy", "row", "rows", "found", "spans", "start", "n_words", "sketch", "u", "v", "g", "keep", "score"]
+    docs = docs.withColumns({c: F.lit(f"own {c}") for c in clash})
+    columns = docs.columns
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs, sf)
+        assert out.columns[: len(columns)] == columns, name
+        docs = spark.createDataFrame(out.select(*columns).collect(), docs.schema)
+        assert {tuple(r) for r in docs.select(*clash).distinct().collect()} <= {tuple(f"own {c}" for c in clash)}, name
+        assert docs.where("doc_id = 9004").count() <= (2 if name in ("quality_classifier", "source_mix") else 1)
+    assert docs.count() > 0
