@@ -6,14 +6,15 @@ Only distinct fingerprints are joined. A key's group is cut into chunks of at mo
 group of at most twice that, whatever the key's share of the data; a group gives a spanning forest of its
 close pairs, never all of them. Components come from alternating star contractions on written tables.
 
-A few bits of the shingles' fingerprint tell copies with few edits. For a similarity of shingles (0.8 of five words),
-representatives of those groups meet again on fingerprints of their sets of words, which edits change less, and the
-similarity of the pairs of a nearest forest is verified.
+A few bits of the shingles' fingerprint tell copies with few edits. For a similarity of shingles (0.8 of five words), all
+different texts meet again by a prefix filter: with shingles in one order for all texts, the rarest first, two sets that are
+alike share one of their first shingles, so no pair is missed; what meets is compared on the whole sets.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,14 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import LOWER, mapped, popcount, stored, text_table, texts
+from .common import LOWER, ids64, mapped, mixed, popcount, session, sliding_sums, stored, text_table, texts
 
 #: Rows of a chunk of a key's group.
 CHUNK = 4096
-#: Bits by which word-set fingerprints of similar texts may differ, and the blocks that they are cut into.
-WORD_DISTANCE, WORD_BLOCKS = 6, 9
-#: Hashes of a text's shingles that its sketch keeps, the smallest; texts with no more shingles are compared exactly.
-SKETCH = 512
+#: Most texts under one shingle whose pairs are all listed, and rows of a chunk where there are more.
+LISTED, SET_CHUNK = 64, 512
+#: Shingles that are counted at a time, and most frequent ones that are broadcast; they only order the others.
+COUNTED, FREQUENT = 1 << 21, 1 << 17
 
 
 def fingerprint(text: bytes, shingle: int = 4) -> int:
@@ -55,50 +56,32 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def word_set_fingerprint(text: bytes) -> int:
-    """As ``fingerprint``, over the different lower-cased words."""
-    words = set(text.translate(LOWER).split())
-    if not words:
-        return 0
-    h = np.array([xxh64_intdigest(w, 42) for w in words], np.uint64)
-    counts = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(h), bitorder="little").tobytes(), "little")
-
-
-def sketch(text: bytes, shingle: int = 5, size: int = SKETCH) -> np.ndarray:
-    """The smallest hashes of the different shingles of the whole text, sorted."""
+def sketch(text: bytes, shingle: int = 5, seen: dict[bytes, int] | None = None) -> np.ndarray:
+    """Hashes of the different shingles of the whole text, sorted. Fewer words than ``shingle``: they are one shingle."""
     words = text.translate(LOWER).split()
     if not words:
         return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    n = max(1, len(words) - shingle + 1)
-    h = np.unique(np.array([xxh64_intdigest(joined[a:b], 17) for a, b in zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist())], np.uint64))
-    return h[:size]
+    return np.unique(mixed(sliding_sums(ids64(words, {} if seen is None else seen), min(shingle, len(words)), 0x9E3779B97F4A7C15)))
 
 
-def resemblance(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
-    """Share of common shingles, from two sketches; exact if both texts have at most ``size``. Two texts without words are the same."""
+def resemblance(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of common shingles. Two texts without words are the same."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    union = np.union1d(a, b)
-    if len(a) == size or len(b) == size:
-        union = union[:size]
-    return float(np.isin(union, a[np.isin(a, b, assume_unique=True)], assume_unique=True).sum() / len(union))
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, word_sets: bool = False) -> DataFrame:
-    """(id long, fp long): the fingerprint's 64 bits as a signed long; ``words``, the word set's, if asked for. A null text has no words."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, own: bool = False) -> DataFrame:
+    """(id long, fp long): the fingerprint's 64 bits as a signed long; ``own``, the text's XXH64, if asked for. A null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = texts(b)
-            kinds = [[fingerprint(t, shingle) for t in own]] + ([[word_set_fingerprint(t) for t in own]] if word_sets else [])
-            columns = [pa.array(np.array(k, np.uint64).view(np.int64), pa.int64()) for k in kinds]
-            yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.int64()), *columns], ["id", "fp", "words"][: 1 + len(kinds)])
+            fps = pa.array(np.array([fingerprint(t, shingle) for t in texts(b)], np.uint64).view(np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.int64()), fps, *([b.column("own")] if own else [])], ["id", "fp", "own"][: 2 + own])
 
-    return mapped(text_table(docs, id_col, text_col), run, "id long, fp long" + ", words long" * word_sets)
+    rows = text_table(docs, id_col, text_col)
+    return mapped(rows.withColumn("own", F.xxhash64("text")) if own else rows, run, "id long, fp long" + ", own long" * own)
 
 
 def forest(fps: np.ndarray, nodes: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +128,7 @@ def nearest_forest(fps: np.ndarray, nodes: np.ndarray, distance: int) -> tuple[n
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def _group_edges(distance: int, nearest: bool = False):
+def _group_edges(distance: int):
     """Edges within runs of equal keys of partitions sorted by key; one run at a time is held."""
 
     def small(key: np.ndarray, fps: np.ndarray, nodes: np.ndarray, begins: np.ndarray, size: np.ndarray):
@@ -180,7 +163,7 @@ def _group_edges(distance: int, nearest: bool = False):
             edges = list(small(key, fps, nodes, begins, size))
             for k in np.flatnonzero(sizes > 8):
                 s = slice(begins[k], begins[k] + sizes[k])
-                edges.append((nearest_forest if nearest else forest)(fps[s], nodes[s], distance))
+                edges.append(forest(fps[s], nodes[s], distance))
             a, b = (np.concatenate(x) for x in zip(*edges)) if edges else (np.zeros(0, np.int64),) * 2
             pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
@@ -196,9 +179,9 @@ def _group_edges(distance: int, nearest: bool = False):
     return run
 
 
-def links(nodes: DataFrame, distance: int = 4, blocks: int | None = None, nearest: bool = False, chunk: int = CHUNK) -> DataFrame:
+def links(nodes: DataFrame, distance: int = 4, blocks: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """(u, v): enough of the pairs within ``distance`` of the table (node long, fp long) to connect all that are
-    connected by such pairs; ``nearest``: the shortest of them within each group.
+    connected by such pairs.
 
     Of ``blocks`` (by default two more than ``distance``) all but ``distance`` make a key; more blocks give more and longer keys, for more rows.
     """
@@ -228,7 +211,7 @@ def links(nodes: DataFrame, distance: int = 4, blocks: int | None = None, neares
         .select("g", "node", "fp", F.least("c", "other").alias("ci"), F.greatest("c", "other").alias("cj"))
     )
     together = dealt.repartition("g", "ci", "cj").sortWithinPartitions("g", "ci", "cj", "node")
-    return mapped(together, _group_edges(distance, nearest), "u long, v long").distinct()
+    return mapped(together, _group_edges(distance), "u long, v long").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
@@ -268,16 +251,187 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(known, "fp", "left").select("id", "fp", "component")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similarity: float, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """The pairs (u, v) of ids whose texts share at least ``similarity`` of their shingles, by sketches made once per text."""
-    ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+def frequent(own: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of frequent shingles of (own, text) and about how many texts have each, to put rare ones first.
+
+    Correct whatever it finds: the order is only the same for all texts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, int] = {}
+        held: list[np.ndarray] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["h", "n"])
+
+        for b in batches:
+            for t in texts(b):
+                held.append(sketch(t, shingle, seen))
+                size += len(held[-1])
+                if size >= COUNTED:
+                    yield out()
+                    size = 0
+        if held:
+            yield out()
+
+    counts = mapped(own, run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 4")
+    found = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    h, n = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefixes(own: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(own, n, prefix) of the different texts of (own, text) that have words: the number of shingles, and of these, the rarest first,
+    as many as two sets of which ``similarity`` is common can't both have without sharing one: all but ``similarity`` of them, and one."""
+    given = session(own.sparkSession).sparkContext.broadcast(frequent(own, shingle))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, int] = {}
+        known, counts = given.value
+        for b in batches:
+            sizes, firsts = [], []
+            for t in texts(b):
+                s = sketch(t, shingle, seen)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    s = s[np.argsort(np.where(known[at] == s, counts[at], 0), kind="stable")]
+                sizes.append(len(s))
+                firsts.append(s[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("own"), pa.array(sizes, pa.int32()), pa.array(firsts, pa.binary())], ["own", "n", "prefix"])
+
+    return mapped(own, run, "own long, n int, prefix binary").where("n > 0").dropDuplicates(["own"])
+
+
+def _listed(similarity: float):
+    """Pairs (u < v) of different components within runs of equal ``g`` of sorted partitions that can be similar by their sizes and by
+    what is left of both after the shingle, if that is their first common one."""
+
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        g, node, comp, n, at = (t.column(c).to_numpy() for c in ("g", "node", "comp", "n", "at"))
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        ok = np.arange(len(g))
+        for lag in range(1, len(g)):
+            ok = ok[ok + lag < len(g)]
+            ok = ok[g[ok + lag] == g[ok]]
+            if not len(ok):
+                break
+            i, j = ok, ok + lag
+            most = np.minimum(n[i] - at[i], n[j] - at[j])
+            near = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
+            near &= most >= similarity / (1 + similarity) * (n[i].astype(np.int64) + n[j]) - 1e-6
+            u.append(np.minimum(node[i[near]], node[j[near]]))
+            v.append(np.maximum(node[i[near]], node[j[near]]))
+        found = np.unique(np.stack([np.concatenate(u), np.concatenate(v)], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= 20_000:
+                t = pa.Table.from_batches(held).combine_chunks()
+                g = t.column("g").to_numpy()
+                last = int(np.searchsorted(g, g[-1]))  # the last group may go on in the next batch
+                held = t.slice(last).to_batches()
+                yield pairs(t.slice(0, last))
+        if sum(x.num_rows for x in held):
+            yield pairs(pa.Table.from_batches(held).combine_chunks())
+
+    return run
+
+
+def similar_forest(sets: list[np.ndarray], nodes: np.ndarray, comps: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
+    """Edges (smaller, larger node) that, with the known components, connect all that pairs of ``similarity`` connect: each node is
+    compared with all that aren't yet connected to those before it, and only a pair that is similar is an edge."""
+    n = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), n)
+    kinds, code = np.unique(np.concatenate(sets), return_inverse=True)
+    begins = np.cumsum(n) - n
+    left = np.ones(len(sets), bool)
+    u, v, queue = [], [], []
+    rest_owner, rest_code = owner, code
+    while left.any() or queue:
+        if not queue:
+            start = left & (comps == comps[int(left.argmax())])
+            left &= ~start
+            queue = np.flatnonzero(start).tolist()
+        if not left.any():
+            break
+        at = queue.pop()
+        if len(rest_owner) > 2 * n[left].sum():
+            keep = left[rest_owner]
+            rest_owner, rest_code = rest_owner[keep], rest_code[keep]
+        marked = np.zeros(len(kinds), bool)
+        marked[code[begins[at] : begins[at] + n[at]]] = True
+        common = np.bincount(rest_owner[marked[rest_code]], minlength=len(sets))
+        hit = left & (common / (n + n[at] - common) >= similarity)
+        if hit.any():
+            for k in np.flatnonzero(hit).tolist():
+                u.append(min(int(nodes[k]), int(nodes[at])))
+                v.append(max(int(nodes[k]), int(nodes[at])))
+            more = left & np.isin(comps, comps[hit])
+            left &= ~more
+            queue += np.flatnonzero(more).tolist()
+    return u, v
+
+
+def _crowded(similarity: float):
+    """``similar_forest`` of each run of equal (g, ci, cj) of sorted partitions; one run at a time is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            u, v = similar_forest([np.frombuffer(r[2], np.uint64) for r in rows], np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), similarity)
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+        own, rows = None, []
+        for b in batches:
+            for *key, node, comp, whole in zip(*(b.column(c).to_pylist() for c in ("g", "ci", "cj", "node", "comp", "sketch"))):
+                if key != own and rows:
+                    yield out(rows)
+                    rows = []
+                own = key
+                rows.append((node, comp, whole))
+        if rows:
+            yield out(rows)
+
+    return run
+
+
+def similar_links(docs: DataFrame, known: DataFrame, similarity: float, text_col: str = "text", shingle: int = 5, listed: int = LISTED, chunk: int = SET_CHUNK) -> DataFrame:
+    """(u, v): pairs of texts (their ``own``) of which ``similarity`` of the shingles are common, enough to connect, with the components
+    of ``known`` (own, comp), all that are connected by such pairs. Exact but for equal 64-bit hashes."""
+    own = text_table(docs, text_col, text_col).select(F.xxhash64("text").alias("own"), "text")
+    first = stored(prefixes(own, similarity, shingle).join(known, "own"), "simhash-prefixes")
+
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [np.frombuffer(x, np.int64) for x in b.column("prefix").to_pylist()]
+            sizes = np.array([len(p) for p in parts], np.int64)
+            if not sizes.sum():
+                continue
+            columns = [np.repeat(b.column(c).to_numpy(), sizes) for c in ("own", "comp", "n")]
+            at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(parts), *columns, at.astype(np.int32))], ["g", "node", "comp", "n", "at"])
+
+    rows = mapped(first.select("own", "comp", "n", "prefix"), exploded, "g long, node long, comp long, n int, at int")
+    many = stored(rows.groupBy("g").agg(F.count("*").alias("m"), F.min("comp").alias("a"), F.max("comp").alias("b")).where(F.col("m") > listed), "simhash-many")
+    few = rows.join(many.select("g"), "g", "left_anti").repartition("g").sortWithinPartitions("g")
+    pairs = stored(mapped(few, _listed(similarity), "u long, v long").distinct(), "simhash-pairs")
+    crowd = stored(rows.join(many.where("a <> b").select("g", F.ceil(F.col("m") / F.lit(chunk)).cast("int").alias("parts")), "g").select("g", "node", "comp", "parts"), "simhash-crowd")
+
+    ids = pairs.select(F.col("u").alias("own")).union(pairs.select("v")).union(crowd.select("node")).distinct()
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, int] = {}
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.int64()), pa.array([sketch(t, shingle).tobytes() for t in texts(b)], pa.binary())], ["id", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column("own"), pa.array([sketch(t, shingle, seen).tobytes() for t in texts(b)], pa.binary())], ["own", "sketch"])
 
-    own = stored(mapped(text_table(docs, id_col, text_col).join(ids, "id", "left_semi"), sketched, "id long, sketch binary").dropDuplicates(["id"]), "simhash-sketches")
-    side = lambda s: own.select(F.col("id").alias(s), F.col("sketch").alias(f"{s}_sketch"))
+    sets = stored(mapped(own.join(ids, "own", "left_semi").select("own", "text"), sketched, "own long, sketch binary").dropDuplicates(["own"]), "simhash-sketches")
+    side = lambda s: sets.select(F.col("own").alias(s), F.col("sketch").alias(f"{s}_sketch"))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -285,41 +439,53 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float, id_col: str =
             same = pa.array([resemblance(x, y) >= similarity for x, y in zip(*sides)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], ["u", "v"]).filter(same)
 
-    return mapped(pairs.join(side("u"), "u").join(side("v"), "v"), compared, "u long, v long")
+    dealt = (
+        crowd.withColumn("c", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        .select("g", "node", "comp", "c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        .select("g", "node", "comp", F.least("c", "other").alias("ci"), F.greatest("c", "other").alias("cj"))
+    )
+    together = dealt.join(sets.withColumnRenamed("own", "node"), "node").repartition("g", "ci", "cj").sortWithinPartitions("g", "ci", "cj")
+    found = mapped(pairs.join(side("u"), "u").join(side("v"), "v"), compared, "u long, v long")
+    return found.union(mapped(together, _crowded(similarity), "u long, v long")).distinct()
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float | None) -> DataFrame:
+    """(id, fp, own, component) of every row; ``own`` is the text's XXH64. Nodes are the different texts."""
+    fps = stored(fingerprints(docs, id_col, text_col, 4, own=True), "simhash-fps")
+    different = stored(fps.where("id is not null").groupBy("own").agg(F.min("fp").alias("fp"), F.min("id").alias("id")), "simhash-texts")
+    nodes = stored(different.groupBy("fp").agg(F.min("own").alias("node")), "simhash-nodes")
+    close = nodes.join(components(links(nodes)), "node", "left").select("fp", F.coalesce("component", "node").alias("comp"))
+    known = stored(different.join(close, "fp"), "simhash-close")
+    if similarity is not None:
+        pairs = stored(similar_links(docs, known.select("own", "comp"), similarity, text_col, shingle), "simhash-similar")
+        comp = lambda s, c: known.select(F.col("own").alias(s), F.col("comp").alias(c))
+        edges = pairs.join(comp("u", "a"), "u").join(comp("v", "b"), "v").where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+        merged = components(edges).select(F.col("node").alias("comp"), F.col("component").alias("whole"))
+        known = stored(known.join(merged, "comp", "left").select("own", "fp", "id", F.coalesce("whole", "comp").alias("comp")), "simhash-known")
+    least = known.groupBy("comp").agg(F.min("id").alias("component"))
+    named = stored(known.select("fp", "comp").distinct().join(least, "comp").select("fp", "component"), "simhash-named")
+    return fps.join(named, "fp", "left").select("id", "fp", "own", "component")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, fp, component) as ``near_duplicates``, with links also between representatives of its groups that share at least
-    ``similarity`` of their shingles of ``shingle`` words.
-
-    Candidates are pairs of word-set fingerprints within ``WORD_DISTANCE`` bits; every candidate edge of the nearest forests is verified.
-    """
-    fps = stored(fingerprints(docs, id_col, text_col, 4, word_sets=True), "simhash-fps")
-    nodes = stored(fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("node")), "simhash-nodes")
-    close = nodes.join(components(links(nodes)), "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    close = stored(close, "simhash-close")
-    heads = close.select(F.col("component").alias("id")).distinct().join(fps.where("id is not null").groupBy("id").agg(F.min("words").alias("fp")), "id")
-    heads = stored(heads.select(F.col("id").alias("node"), "fp"), "simhash-heads")
-    pairs = stored(links(heads, WORD_DISTANCE, WORD_BLOCKS, nearest=True), "simhash-pairs")
-    merged = components(verified(pairs, docs, similarity, id_col, text_col, shingle)).select(F.col("node").alias("component"), F.col("component").alias("whole"))
-    known = stored(close.join(merged, "component", "left").select("fp", F.coalesce("whole", "component").alias("component")), "simhash-known")
-    return fps.join(known, "fp", "left").select("id", "fp", "component")
+    """(id, fp, component) as ``near_duplicates``, with links also between all texts that share at least ``similarity`` of their
+    shingles of ``shingle`` words."""
+    return _groups(docs, id_col, text_col, shingle, similarity).select("id", "fp", "component")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = 0.8) -> DataFrame:
-    """``docs`` without the rows whose id is not the smallest of their group (``similar_groups``; without ``similarity``, ``near_duplicates``);
-    of rows that share an id one stays.
+    """``docs`` without the rows whose id is not the smallest of their text's group (``similar_groups``; without ``similarity``, SimHash
+    links only); of rows that share an id one stays.
 
     Rows with a null id stay. All columns are kept.
     """
-    groups = near_duplicates(docs, id_col, text_col) if similarity is None else similar_groups(docs, id_col, text_col, similarity=similarity)
-    groups = stored(groups, "simhash-groups")
+    groups = stored(_groups(docs, id_col, text_col, 5, similarity), "simhash-groups")
     gone = groups.where("id <> component").select(F.col("id").alias(id_col)).distinct()
     kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
     again = groups.where("id = component").groupBy(F.col("id").alias(id_col)).count().where("count > 1").select(id_col)
     if again.isEmpty():
         return kept
-    once = docs.join(again, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
+    once = kept.join(again, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
     return kept.join(again, id_col, "left_anti").select(*docs.columns).union(once)
 
 

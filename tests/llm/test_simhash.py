@@ -121,3 +121,49 @@ def test_chain_of_links(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(400, 401)], "u long, v long")
     got = dict(tuple(r) for r in simhash.components(edges).collect())
     assert got == {**{i: 0 for i in range(301)}, 400: 400, 401: 400}
+
+
+def prose(rng, n):
+    return [f"w{k}" for k in rng.integers(0, 4000, n)]
+
+
+def replaced(rng, words, n):
+    out = list(words)
+    for at in rng.choice(len(words), n, replace=False):
+        out[at] = f"x{rng.integers(0, 1 << 40)}"
+    return out
+
+
+def true_groups(docs):
+    """Smallest id of each text's group: 0.8 of the five-word shingles, or 4 bits; all pairs."""
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for _, t in docs]
+    fps = [simhash.fingerprint(t.encode()) for _, t in docs]
+    comp = list(range(len(docs)))
+
+    def root(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 4 or (c := len(sets[i] & sets[j])) / (len(sets[i]) + len(sets[j]) - c) >= 0.8:
+                a, b = root(i), root(j)
+                comp[max(a, b)] = min(a, b)
+    return {i: docs[root(k)][0] for k, (i, _) in enumerate(docs)}
+
+
+def found_groups(spark, docs):
+    return {r.id: r.component for r in simhash.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+
+
+def test_added_blocks_are_found_at_any_similarity(spark):
+    rng = np.random.default_rng(11)
+    docs = []
+    for k in range(60):
+        base, more = prose(rng, 300), prose(rng, 30 + k % 40)
+        at = int(rng.integers(0, 2)) * 300
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[:at] + more + base[at:]))]
+    want = true_groups(docs)
+    assert all(want[2 * k + 1] == 2 * k for k in range(60))
+    assert found_groups(spark, docs) == want
