@@ -480,8 +480,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows with a null id stay. All columns are kept.
     """
     groups = stored(_groups(docs, id_col, text_col, 5, similarity), "simhash-groups")
-    gone = groups.where("id <> component").select(F.col("id").alias(id_col)).distinct()
-    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    gone = groups.where("id <> component").select(F.col("id").alias("gone_id"), F.col("own").alias("gone_own")).distinct()
+    same = (docs[id_col] == gone["gone_id"]) & (F.xxhash64(docs[text_col].cast("string")) == gone["gone_own"])
+    kept = docs.join(gone, same, "left_anti").select(*docs.columns)
     again = groups.where("id = component").groupBy(F.col("id").alias(id_col)).count().where("count > 1").select(id_col)
     if again.isEmpty():
         return kept

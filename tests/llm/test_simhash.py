@@ -167,3 +167,11 @@ def test_added_blocks_are_found_at_any_similarity(spark):
     want = true_groups(docs)
     assert all(want[2 * k + 1] == 2 * k for k in range(60))
     assert found_groups(spark, docs) == want
+
+
+def test_another_text_of_a_removed_id_stays(spark):
+    rng = np.random.default_rng(15)
+    a, b = " ".join(prose(rng, 50)), " ".join(prose(rng, 50))
+    d = spark.createDataFrame([(1, a), (5, a), (5, b), (7, b), (None, a)], "doc_id long, text string")
+    for similarity in (0.8, None):
+        assert sorted(map(tuple, simhash.deduplicated(d, similarity=similarity).collect()), key=str) == sorted([(1, a), (5, b), (None, a)], key=str)
