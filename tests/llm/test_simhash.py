@@ -169,6 +169,17 @@ def test_added_blocks_are_found_at_any_similarity(spark):
     assert found_groups(spark, docs) == want
 
 
+def test_chains_of_revisions_are_one_group(spark):
+    rng = np.random.default_rng(12)
+    docs = []
+    for k in range(25):
+        own = prose(rng, 300)
+        for j in range(6):
+            docs.append((10 * k + j, " ".join(own)))
+            own = replaced(rng, own, 5)
+    assert found_groups(spark, docs) == true_groups(docs)
+
+
 def test_another_text_of_a_removed_id_stays(spark):
     rng = np.random.default_rng(15)
     a, b = " ".join(prose(rng, 50)), " ".join(prose(rng, 50))
