@@ -180,6 +180,20 @@ def test_chains_of_revisions_are_one_group(spark):
     assert found_groups(spark, docs) == true_groups(docs)
 
 
+def test_large_groups_of_copies_lose_none(spark):
+    rng = np.random.default_rng(13)
+    base = prose(rng, 300)
+    docs = [(0, " ".join(base))] + [(k, " ".join(replaced(rng, base, 6))) for k in range(1, 301)]
+    assert found_groups(spark, docs) == true_groups(docs)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    known = d.select(F.xxhash64("text").alias("own")).withColumn("comp", F.col("own"))
+    one = None
+    for listed, chunk in ((10_000, 512), (3, 11), (64, 512)):
+        found = dict(tuple(r) for r in simhash.components(simhash.similar_links(d, known, 0.8, listed=listed, chunk=chunk)).collect())
+        assert one in (None, found)
+        one = found
+
+
 def test_another_text_of_a_removed_id_stays(spark):
     rng = np.random.default_rng(15)
     a, b = " ".join(prose(rng, 50)), " ".join(prose(rng, 50))
