@@ -194,6 +194,18 @@ def test_large_groups_of_copies_lose_none(spark):
         one = found
 
 
+def test_long_texts_are_decided_exactly(spark):
+    rng = np.random.default_rng(14)
+    docs, want = [], {}
+    for k in range(12):
+        base = [f"d{k}w{j}" for j in range(3004)]  # 3,000 shingles
+        more = 750 if k % 2 else 751  # 0.8 and just below
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base + [f"x{rng.integers(0, 1 << 40)}" for _ in range(more)]))]
+        want[2 * k + 1] = simhash.resemblance(*(simhash.sketch(t.encode()) for _, t in docs[-2:])) >= 0.8
+    assert [want[2 * k + 1] for k in range(12)] == [bool(k % 2) for k in range(12)]
+    assert found_groups(spark, docs) == true_groups(docs)
+
+
 def test_another_text_of_a_removed_id_stays(spark):
     rng = np.random.default_rng(15)
     a, b = " ".join(prose(rng, 50)), " ".join(prose(rng, 50))
