@@ -1,9 +1,13 @@
 """Quality classifier by co-training.
 
-Two views of a document, its text and its page metadata, each have a logistic model over hashed features. Over a few
-rounds each view labels the documents that it is sure of, and a bounded sample of them trains the other view. Both views are
-calibrated on held-out labels and their log-odds combined. A document is good if its quality is 1 and it isn't toxic.
-Fits are on bounded samples (``MAX_LABELLED``, ``MAX_PSEUDO``); every document is read in each round and scored.
+Two views of a document, its text and its page metadata (language, source), each have a logistic model over hashed features.
+Over a few rounds each view hands the other the documents that it is surest of, with its calibrated probability as a soft
+label, and a bounded sample of them trains the other view. How sure is sure enough is the view's own: the outer shares of its
+calibrated scores on held-out labels. So a weaker view hands over too, with soft labels that say how weak it is; one whose
+scores tell nothing hands over none.
+Both views are calibrated on held-out labels and their log-odds combined. A document is good if its quality is 1 and
+it isn't toxic. Features are made once and written; fits are on bounded samples (``MAX_LABELLED``, ``MAX_PSEUDO``); every
+document is a candidate in each round and is scored.
 """
 
 from __future__ import annotations
@@ -17,13 +21,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
-from .common import mapped, session
+from .common import discard, mapped, session, stored
 from .fmindex import PLAIN
 
 #: Labelled rows that are used at most (the smallest by a hash of the id), and pseudo-labels of a class, view and round.
 MAX_LABELLED, MAX_PSEUDO = 20_000, 1_000
-#: Rounds of exchange, and how sure a view must be.
-ROUNDS, SURE = 2, 0.97
+#: Rounds of exchange, and the share of held-out scores at either end beyond which a view is sure.
+ROUNDS, SURE = 2, 0.1
+#: How far apart the two ends of a view must be; one that tells nothing is sure of nothing.
+APART = 0.05
+#: Weight of a pseudo-label next to a label's.
+PSEUDO_WEIGHT = 0.5
 #: Buckets of the text's words and of the metadata.
 WORDS, META = 1 << 17, 1 << 12
 STEPS = 120
@@ -62,9 +70,8 @@ def text_features(text: bytes, seen: dict[bytes, int]) -> np.ndarray:
 N_TEXT = WORDS + 7 * _STAT
 
 
-def meta_features(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
-    size = min(40, max(0, n_chars or 0).bit_length())
-    told = {f"l{lang}", f"s{source}", f"n{size}", f"l{lang}s{source}", f"l{lang}n{size}"}
+def meta_features(lang: str | None, source: str | None) -> np.ndarray:
+    told = {f"l{lang}", f"s{source}", f"l{lang}s{source}"}
     return np.array(sorted({xxh32_intdigest(x, 3) % META for x in told}), np.int32)
 
 
@@ -98,22 +105,23 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit_linear(rows: Rows, y: np.ndarray, weight: np.ndarray, size: int, steps: int = STEPS, decay: float = 1e-5) -> np.ndarray:
-    """Weights of a logistic model (the last is the constant); classes weigh alike.
+    """Weights of a logistic model (the last is the constant); classes weigh alike. ``y``: labels, or probabilities that count for both.
 
     A feature's scale is its smoothed log ratio between the classes, 0 where that is within ``SIGNIFICANT``
     standard errors of none; then Adagrad on the scaled features.
     """
-    y = y.astype(float)
-    total = np.array([max(weight[y == c].sum(), 1e-9) for c in (0.0, 1.0)])
-    seen = np.stack([rows.back(weight * (y == c), size) for c in (0.0, 1.0)])
+    share = weight * (1 - y), weight * y
+    total = [max(s.sum(), 1e-9) for s in share]
+    seen = np.stack([rows.back(s, size) for s in share])
     least = 0.5
     ratio = np.log((seen[1] + least) / (total[1] + 1)) - np.log((seen[0] + least) / (total[0] + 1))
     error = np.sqrt(1 / (seen[0] + least) + 1 / (seen[1] + least))
     scale = np.where((np.abs(ratio) > SIGNIFICANT * error) & (seen.sum(0) > 0), ratio, 0.0)
-    weight = weight / total[y.astype(int)] / 2
+    bad, good = (s / t / 2 for s, t in zip(share, total))
     w, b, gw, gb = np.zeros(size), 0.0, np.full(size, 1e-10), 1e-10
     for _ in range(steps):
-        g = weight * (sigmoid(rows.dot(w * scale) + b) - y)
+        p = sigmoid(rows.dot(w * scale) + b)
+        g = bad * p - good * (1 - p)
         d, e = rows.back(g, size) * scale + decay * w, g.sum()
         gw, gb = gw + d * d, gb + e * e
         w, b = w - 0.15 * d / np.sqrt(gw), b - 0.15 * e / np.sqrt(gb)
@@ -131,12 +139,25 @@ def fit_dense(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
     return w
 
 
+def fit_rising(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """As ``fit_dense``, but no column may count against its own direction: columns with negative weights are left out."""
+    used = np.ones(x.shape[1], bool)
+    while True:
+        w = np.zeros(x.shape[1] + 1)
+        w[np.append(used, True)] = fit_dense(x[:, used], y)
+        if (w[:-1] >= 0).all():
+            return w
+        used &= w[:-1] >= 0
+
+
 @dataclass
 class Model:
     text: np.ndarray
     meta: np.ndarray
     calibration: tuple[np.ndarray, np.ndarray]
     combination: np.ndarray
+    #: Of each view, the probabilities at or below and at or above which it is sure.
+    sure: tuple[tuple[float, float], tuple[float, float]] = ((0.0, 1.0), (0.0, 1.0))
 
     def scores(self, text_rows: Rows, meta_rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated probabilities of either view, and of both."""
@@ -147,84 +168,90 @@ class Model:
         return sigmoid(t), sigmoid(m), sigmoid(both)
 
 
-def _documents(docs: DataFrame, id_col: str) -> DataFrame:
-    pick = lambda c, kind: (docs[c] if c in docs.columns else F.lit(None)).cast(kind).alias(c)
-    return docs.select(docs[id_col].alias("id"), pick("text", "string"), pick("lang", "string"), pick("source", "string"), pick("n_chars", "long"))
+def _features(text: list, lang: list, source: list, seen: dict[bytes, int]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    return [text_features(t or b"", seen) for t in text], [meta_features(*x) for x in zip(lang, source)]
 
 
-def _features(b: pa.RecordBatch, seen: dict[bytes, int]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    text = [text_features(t.as_py() or b"", seen) for t in b.column("text").cast(pa.binary())]
-    meta = [meta_features(*x) for x in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "n_chars")))]
-    return text, meta
+def _read(b: pa.RecordBatch, c: str) -> list:
+    if c not in b.schema.names:
+        return [None] * b.num_rows
+    return b.column(c).cast(pa.string()).cast(pa.binary() if c == "text" else pa.string()).to_pylist()
 
 
-def _told(ids, labels, text: list[np.ndarray], meta: list[np.ndarray], extra: list) -> pa.RecordBatch:
-    data = [pa.array(ids, pa.int64()), pa.array(labels, pa.int32()), pa.array([x.tobytes() for x in text], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary()), pa.array(extra, pa.int32())]
-    return pa.RecordBatch.from_arrays(data, ["id", "good", "text", "meta", "view"])
+def featured(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, text, meta) of every row: its features, 4 bytes each; made once for all rounds. Columns that are missing are read as null."""
+    pick = lambda c: (docs[c] if c in docs.columns else F.lit(None)).cast("string").alias(c)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, int] = {}
+        for b in batches:
+            text, meta = _features(*(_read(b, c) for c in ("text", "lang", "source")), seen)
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array([x.tobytes() for x in v], pa.binary()) for v in (text, meta))], ["id", "text", "meta"])
 
-_EXAMPLES = "id long, good int, text binary, meta binary, view int"
+    return mapped(docs.select(docs[id_col].cast("long").alias("id"), pick("text"), pick("lang"), pick("source")), run, "id long, text binary, meta binary")
 
 
-def examples(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Features of the rows of ``docs`` that ``chosen`` (id, good, view) names; it is at most a few times ``MAX_LABELLED`` rows long."""
-    rows = docs.join(F.broadcast(chosen), "id").select("id", "text", "lang", "source", "n_chars", "good", "view")
+def _rows(b: pa.RecordBatch, c: str) -> Rows:
+    return Rows([np.frombuffer(x, np.int32) for x in b.column(c).to_pylist()])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}
-        for b in batches:
-            yield _told(b.column("id"), b.column("good"), *_features(b, seen), b.column("view"))
 
-    return mapped(rows, run, _EXAMPLES)
+def examples(features: DataFrame, chosen: DataFrame) -> DataFrame:
+    """A row for each (id, view) of ``chosen`` (id, good, view; at most a few times ``MAX_LABELLED`` rows) that ``features`` has: of rows that
+    share an id the one with the least content."""
+    found = features.join(F.broadcast(chosen), "id").groupBy("id", "view").agg(F.first("good").alias("good"), F.min(F.struct("text", "meta")).alias("x"))
+    return found.select("id", "view", "good", "x.text", "x.meta")
 
 
 def labelled(labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
     """(id, good, view 0) of at most ``limit`` labels. Of an id's several labels the worst holds; null ones are left out."""
     each = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("id"))
     good = (F.min("quality") > 0) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0)
-    return each.agg(good.cast("int").alias("good"), F.lit(0).alias("view")).orderBy(F.xxhash64("id"), "id").limit(limit)
+    return each.agg(good.cast("double").alias("good"), F.lit(0).alias("view")).orderBy(F.xxhash64("id"), "id").limit(limit)
 
 
-def confident(docs: DataFrame, model: Model, round_no: int, sure: float = SURE, limit: int = MAX_PSEUDO) -> DataFrame:
-    """(id, good, view) of the documents, out of all, that a view is sure of: at most ``limit`` a class and view, the
-    smallest by a hash of round and id. A task sends on only its own smallest."""
-    given = session(docs.sparkSession).sparkContext.broadcast(model)
+def confident(features: DataFrame, model: Model, round_no: int, limit: int = MAX_PSEUDO) -> DataFrame:
+    """(id, good, view) of the documents, out of all, that a view is sure of, ``good`` being its probability: at most ``limit`` a class
+    and view, the smallest by a hash of round and id. A task sends on only its own smallest."""
+    given = session(features.sparkSession).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}
-        best: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        best: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
         for b in batches:
-            text, meta = _features(b, seen)
-            by_view = given.value.scores(Rows(text), Rows(meta))[:2]
-            for k, i in enumerate(b.column("id").to_pylist()):
-                for view, p in enumerate(by_view):
-                    if i is not None and (p[k] >= sure or p[k] <= 1 - sure):
-                        best.setdefault((view, int(p[k] >= sure)), []).append((xxh32_intdigest(f"{round_no}:{i}", 9), i))
-            for key, rows in best.items():
-                if len(rows) > 2 * limit:
-                    best[key] = sorted(set(rows))[:limit]
-        for (view, good), rows in sorted(best.items()):
+            by_view = given.value.scores(_rows(b, "text"), _rows(b, "meta"))[:2]
+            ids = b.column("id").to_pylist()
+            for view, p in enumerate(by_view):
+                low, high = given.value.sure[view]
+                for side, which in enumerate((p <= low, p >= high)):
+                    own = best.setdefault((view, side), [])
+                    own += [(xxh32_intdigest(f"{round_no}:{ids[k]}", 9), ids[k], float(p[k])) for k in np.flatnonzero(which).tolist() if ids[k] is not None]
+                    if len(own) > 2 * limit:
+                        best[view, side] = sorted(set(own))[:limit]
+        for (view, side), rows in sorted(best.items()):
             rows = sorted(set(rows))[:limit]
-            columns = [r[1] for r in rows], [good] * len(rows), [view] * len(rows), [r[0] for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64()))], ["id", "good", "view", "place"])
+            columns = [r[1] for r in rows], [r[2] for r in rows], [view] * len(rows), [side] * len(rows), [r[0] for r in rows]
+            types = pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int64()
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["id", "good", "view", "side", "place"])
 
-    found = mapped(docs, run, "id long, good int, view int, place long").distinct()
-    order = Window.partitionBy("view", "good").orderBy("place", "id")
-    return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit).select("id", "good", "view")
+    found = mapped(features, run, "id long, good double, view int, side int, place long")
+    found = found.groupBy("id", "view", "side", "place").agg(F.min("good").alias("good"))
+    order = Window.partitionBy("view", "side").orderBy("place", "id")
+    return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit).groupBy("id", "view").agg(F.min("good").alias("good")).select("id", "good", "view")
 
 
 class Examples:
+    """At most a few times ``MAX_LABELLED`` rows, on the driver."""
+
     def __init__(self, df: DataFrame):
-        rows = {(r.view, r.id): r for r in sorted(df.collect(), key=lambda r: (r.view, r.id, bytes(r.text)))}.values()
-        unpack = lambda c: [np.frombuffer(r[c], np.int32) for r in rows]
+        t = df.orderBy("view", "id").toArrow()
+        unpack = lambda c: [np.frombuffer(x, np.int32) for x in t.column(c).to_pylist()]
         self.text, self.meta = unpack("text"), unpack("meta")
-        self.id, self.good, self.view = (np.array([r[c] for r in rows], np.int64) for c in ("id", "good", "view"))
+        self.id, self.view, self.good = (t.column(c).to_numpy() for c in ("id", "view", "good"))
 
     def some(self, which: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
         return [self.text[k] for k in np.flatnonzero(which)], [self.meta[k] for k in np.flatnonzero(which)], self.good[which]
 
 
-def _model(own: Examples, more: list[Examples]) -> Model:
+def _model(own: Examples, more: list[Examples], sure: float = SURE) -> Model:
     """Fits on the labels that aren't held out and on pseudo-labels, each view on the other's; calibration on the held-out ones."""
     held = np.array([xxh32_intdigest(str(i), 1) % 4 == 0 for i in own.id], bool)
     if any(len(set(own.good[x])) < 2 for x in (held, ~held)):  # too few to hold any out
@@ -239,62 +266,65 @@ def _model(own: Examples, more: list[Examples]) -> Model:
         given[0][0].extend(t), given[0][1].extend(g)
         t, m, g = e.some(e.view == 0)
         given[1][0].extend(m), given[1][1].extend(g)
-    weigh = lambda n: np.concatenate([np.ones(len(y)), np.full(n - len(y), 0.5)])
+    weigh = lambda n: np.concatenate([np.ones(len(y)), np.full(n - len(y), PSEUDO_WEIGHT)])
     w = [fit_linear(Rows(given[v][0]), np.array(given[v][1]), weigh(len(given[v][1])), size) for v, size in ((0, N_TEXT), (1, META))]
     text, meta, y = own.some(held)
     raw = [Rows(r).dot(x[:-1]) + x[-1] for r, x in zip((text, meta), w)]
-    calibration = tuple(fit_dense(x[:, None], y) for x in raw)
+    calibration = tuple(fit_rising(x[:, None], y) for x in raw)
     both = np.stack([a[0] * x + a[1] for a, x in zip(calibration, raw)], 1)
-    return Model(w[0].astype(np.float32), w[1].astype(np.float32), calibration, fit_dense(both, y))
+    ends = []
+    for p in (sigmoid(both[:, 0]), sigmoid(both[:, 1])):
+        low, high = np.quantile(p, [sure, 1 - sure]).tolist()
+        ends.append((low, high) if high - low > APART else (-1.0, 2.0))
+    return Model(w[0].astype(np.float32), w[1].astype(np.float32), calibration, fit_rising(both, y), tuple(ends))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", rounds: int = ROUNDS) -> Model | None:
-    """None if the labels that have a document are not of both classes."""
-    d = _documents(docs, id_col)
-    own = Examples(examples(d, labelled(labels)))
+def train(features: DataFrame, labels: DataFrame, rounds: int = ROUNDS, history: list | None = None) -> Model | None:
+    """None if the labels that have a document are not of both classes. ``history`` gets the documents exchanged in each round."""
+    own = Examples(examples(features, labelled(labels)))
     if len(set(own.good.tolist())) < 2:
         return None
     more: list[Examples] = []
     for k in range(rounds):
-        chosen = confident(d, _model(own, more), k)
+        chosen = confident(features, _model(own, more), k)
         ids = chosen.collect()  # at most four times MAX_PSEUDO
-        more.append(Examples(examples(d, docs.sparkSession.createDataFrame(ids, chosen.schema))))
+        more.append(Examples(examples(features, features.sparkSession.createDataFrame(ids, chosen.schema))))
+        if history is not None:
+            history.append(more[-1])
     return _model(own, more)
 
 
-def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", keep: float = KEEP) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
     """(id, text_score, meta_score, score, keep) of every row of ``docs``.
 
-    A null or empty text is scored by its lack of words, missing metadata columns as null. With labels of one class or none there is nothing
-    to learn: every score is 1 and all rows stay. Rows that repeat each get a row.
+    A null or empty text is scored by its lack of words, missing metadata columns as null. Texts of any length are read whole. With labels of
+    one class or none there is nothing to learn: every score is 1 and all rows stay. Rows that repeat each get a row.
     """
-    model = train(docs, labels, id_col)
+    features = stored(featured(docs, id_col), "cotrain-features")
+    model = train(features, labels, rounds)
     given = session(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}
         for b in batches:
-            text, meta = _features(b, seen)
-            out = given.value.scores(Rows(text), Rows(meta)) if given.value else [np.ones(b.num_rows)] * 3
+            out = given.value.scores(_rows(b, "text"), _rows(b, "meta")) if given.value else [np.ones(b.num_rows)] * 3
             yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(np.asarray(x, np.float64)) for x in out), pa.array(out[2] >= keep)], ["id", "text_score", "meta_score", "score", "keep"])
 
-    return mapped(_documents(docs, id_col), run, "id long, text_score double, meta_score double, score double, keep boolean")
+    return mapped(features, run, "id long, text_score double, meta_score double, score double, keep boolean")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", keep: float = KEEP) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with all their columns."""
-    model = train(docs, labels, id_col)
-    given = session(docs.sparkSession).sparkContext.broadcast(model)
-    names = docs.columns
+    features = stored(featured(docs, id_col), "cotrain-features")
+    model = train(features, labels)
     if model is None:
         return docs
+    discard(features)
+    given = session(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
         for b in batches:
-            absent = pa.nulls(b.num_rows)
-            read = pa.RecordBatch.from_arrays([b.column(c) if c in names else absent for c in ("text", "lang", "source", "n_chars")], ["text", "lang", "source", "n_chars"])
-            text, meta = _features(read, seen)
+            text, meta = _features(*(_read(b, c) for c in ("text", "lang", "source")), seen)
             yield b.filter(pa.array(given.value.scores(Rows(text), Rows(meta))[2] >= keep))
 
     return mapped(docs, run, docs.schema)

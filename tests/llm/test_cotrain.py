@@ -32,6 +32,42 @@ def test_views_agree_on_made_documents(spark):
     assert sorted(map(key, found)) == sorted(map(key, again))
 
 
+def test_both_views_label_and_the_exchange_decides(spark):
+    """120 labels are too few for the text's view alone; it learns from the metadata's, and then teaches it back."""
+    rng = np.random.default_rng(3)
+    rows, truth = [], {}
+    for i in range(4000):
+        good = int(rng.random() < 0.5)
+        source = rng.integers(0, 3) + (3 if (good if rng.random() < 0.93 else 1 - good) else 0)
+        text = [f"n{k}" for k in rng.integers(0, 300, 20)] + [f"{'g' if good else 'b'}{k}" for k in rng.integers(0, 25, 2)]
+        rows.append((i, " ".join(text), "en", f"src{source}", 100))
+        truth[i] = good
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, truth[i], 0) for i in range(120)], "doc_id long, quality int, toxic int")
+
+    def held_out(rounds):
+        return np.mean([r.keep == bool(truth[r.id]) for r in cotrain.scored(docs, labels, rounds=rounds).collect() if r.id >= 120])
+
+    assert held_out(0) < 0.85 and held_out(2) > 0.97
+    history = []
+    cotrain.train(cotrain.featured(docs), labels, history=history)
+    given = [sum((e.view == v).sum() for e in history) for v in (0, 1)]
+    assert min(given) > 200
+    for e in history:
+        assert len(set(zip(e.view.tolist(), e.id.tolist()))) == len(e.id)
+        sure = [(p > 0.5) == bool(truth[i]) for i, p in zip(e.id.tolist(), e.good.tolist())]
+        assert np.mean(sure) > 0.85
+
+
+def test_very_long_texts_and_many_rows_of_a_labelled_id(spark):
+    rows = [(i, ("fine words " if i % 2 else "junk# BAD ") * (60_000 if i < 4 else 5), "en", "a", 1) for i in range(200)] + [(5, "fine words again", "en", "a", 1)] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(4, 80)], "doc_id long, quality int, toxic int")
+    features = cotrain.featured(docs)
+    assert cotrain.examples(features, cotrain.labelled(labels)).count() == 76
+    assert all(r.keep == bool(r.id % 2) for r in cotrain.scored(docs, labels).collect())
+
+
 def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     for labels in ([], [(1, 1, 0)], [(7, 0, 0), (8, 1, 0)]):
