@@ -2,7 +2,7 @@
 
 Every page is parsed to a tree; the subtrees of its elements are hashed, and Spark counts in how many different
 articles of a host each hash occurs. Subtrees that recur in many are the site's template and are deleted, besides the
-elements that say themselves that they are menus, adverts, forms or comments. Within the article a recurring
+elements that say by tag, role or name that they are menus, adverts, forms or comments. Within the article a recurring
 paragraph is text, not template, and copies of an article count as one.
 """
 
@@ -30,15 +30,14 @@ RAW = frozenset("script style textarea title noscript iframe xmp noframes".split
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements that are never text of the article.
-DROPPED = frozenset("head script style noscript template iframe object svg canvas audio video nav aside footer form button select option textarea input dialog menu search".split())
-#: Words of class, id or role by which an element says that it isn't text.
+#: Elements that by the standard are no part of an article's text.
+DROPPED = frozenset("head script style noscript template iframe object svg canvas audio video nav aside footer form select option textarea input dialog menu search".split())
+#: Roles by the standard that say the same.
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
+#: Whole names, of a class or id, by which an element other than prose says so.
 LABELS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar cookie cookies consent notice notices alert popup modal newsletter subscribe signup login search share sharing social related recommended comment comments commentlist respond disqus pagination pager skip contentinfo complementary dialog site-header".split()
+    "ad ads advert adverts advertisement advertising sponsored promo banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar cookie cookies cookie-notice consent notice notices popup modal newsletter subscribe signup share sharing social comment comments commentlist respond pagination pager site-header site-footer site-nav left-sidebar right-sidebar".split()
 )
-#: Words that also tell at the end of a name, as in ``site-footer``; not in ``has-sidebar`` and its like.
-ENDINGS = frozenset("ad ads advert advertisement banner nav navbar navigation menu breadcrumbs sidebar footer cookie notice popup newsletter comments comment pagination".split())
-LAYOUT = frozenset("has no with without is hide show".split())
 #: Text of an article: a repeated one is no template.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote b i em strong a span code sub sup br td th tr dd dt li".split())
 _TAG = re.compile(
@@ -92,7 +91,7 @@ def parse(html: str) -> Node:
                     break
                 if t in _SCOPE:
                     break
-        label = " ".join(f"{a.lower()}={b or c or d}" for a, b, c, d in _ATTR.findall(rest)) if rest else ""
+        label = " ".join(f"{a.lower()}={v}" for a, b, c, d in _ATTR.findall(rest) for v in (b or c or d).split()) if rest else ""
         node = Node(tag, label)
         stack[-1].children.append(node)
         if tag in RAW:
@@ -104,19 +103,32 @@ def parse(html: str) -> Node:
 
 
 def labelled(node: Node) -> bool:
-    """Whether an element says that it isn't the article's text; one around a main element or a first heading is layout."""
+    """Whether an element says that it isn't the article's text, by its tag, its role or a whole name. A name never tells of prose, nor of an element around a
+    main element or a first heading, which is layout."""
     if node.tag in DROPPED:
         return True
-    if not node.label or node.heads:
+    if not node.label or node.heads or node.tag in PROSE:
         return False
     for part in node.label.lower().split("itemprop=")[0].split():
-        name = part.split("=")[-1]
-        words = re.split(r"[-_]+", name)
-        if name in LABELS or words[0] in LABELS or (words[-1] in ENDINGS and words[0] not in LAYOUT):
+        name, _, value = part.rpartition("=")
+        if value in (ROLES if name == "role" else LABELS):
             return True
     return False
 
 
+def _length(node: Node) -> int:
+    """Code points of the text within, without what says that it is none."""
+    out, stack = 0, [node]
+    while stack:
+        x = stack.pop()
+        for c in x.children:
+            if isinstance(c, str):
+                out += len(c.strip())
+            elif not labelled(c):
+                stack.append(c)
+    return out
+
+
 def ordered(root: Node) -> list[Node]:
     """All elements, parents before children."""
     out, stack = [], [root]
@@ -128,18 +140,22 @@ def ordered(root: Node) -> list[Node]:
 
 
 def content_roots(root: Node) -> list[Node]:
-    """The outermost articles that aren't comments or adverts; else main elements; else the whole page."""
-    for tags in ({"article"}, {"main"}):
+    """The outermost articles that aren't comments or adverts, unless a main element holds over twice their text (they are teasers then); else
+    main elements; else the whole page."""
+    by_tag: dict[str, list[Node]] = {}
+    for tag in ("article", "main"):
         found, stack = [], [root]
         while stack:
             x = stack.pop()
-            if x.tag in tags or (x.tag != "html" and "main" in tags and "role=main" in x.label):
+            if x.tag == tag or (tag == "main" and "role=main" in x.label):
                 found.append(x)
                 continue
             stack += [c for c in reversed(x.children) if isinstance(c, Node) and not labelled(c)]
-        if found:
-            return found
-    return [root]
+        by_tag[tag] = found
+    articles, mains = by_tag["article"], by_tag["main"]
+    if articles and not (mains and sum(map(_length, mains)) > 2 * sum(map(_length, articles))):
+        return articles
+    return mains or [root]
 
 
 def hashed(root: Node) -> None:
@@ -248,7 +264,7 @@ def extracted(pages: DataFrame, many: int = MANY, max_broadcast: int = MAX_BROAD
     once = found.select("subtree", "article").distinct()
     template = stored(once.groupBy("subtree").agg(F.count("*").alias("n")).where(F.col("n") >= many).select("subtree"), "html-template")
     if template.count() <= max_broadcast:
-        known = np.sort(np.array([r.subtree for r in template.collect()], np.int64))
+        known = np.sort(template.toArrow().column("subtree").to_numpy())
         given = session(pages.sparkSession).sparkContext.broadcast(known)
         own = rows.select("page_id", "url", "html")
     else:
