@@ -1,13 +1,15 @@
 """Benchmark decontamination by an FM-index per training shard.
 
-A task cuts its documents into shards of bounded length, maps words to the benchmark's vocabulary (any other word
-is one symbol that no window holds), sorts the shard's suffixes, and keeps the Burrows-Wheeler transform in a wavelet matrix.
-Benchmark windows are searched backwards, all at once; occurrences are located by walking to sampled
-suffix positions, and their spans are merged per document. Nothing is shuffled.
+A task cuts its documents into shards of bounded length and maps words to the benchmark's vocabulary; a run of other words is one
+symbol that no window holds, so the index is over every word of the shard that a window could have. It sorts the shard's suffixes
+and keeps the Burrows-Wheeler transform in a wavelet matrix. Benchmark windows are searched backwards, all at once; occurrences are
+located by walking to sampled suffix positions, and their spans are merged per document. Nothing is shuffled. A benchmark is broadcast
+in parts of bounded size, one pass over the documents for each.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, session, text_table
+from .common import mapped, session, stored, text_table
 
 #: Words of an item that make a window.
 WINDOW = 10
@@ -24,8 +26,8 @@ WINDOW = 10
 SHARD = 1 << 20
 #: Every so many suffix positions are kept.
 SAMPLE = 16
-#: Most bytes of benchmark texts that are broadcast; beyond it the operator refuses.
-MAX_BENCHMARK = 256 << 20
+#: Bytes of benchmark texts that are broadcast at a time; a larger benchmark takes more passes.
+PART = 4 << 20
 #: Lower-cases A-Z; every other ASCII character that is not a digit or a letter becomes a space.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 OTHER = 1
@@ -191,13 +193,10 @@ class FMIndex:
 
 
 def occurrences(codes: np.ndarray, p: Phrases) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, window numbers, positions) of all windows in ``codes``, by an index over the stretches of
-    benchmark words that are long enough to hold one."""
+    """(length, window numbers, positions) of all windows in ``codes``, by an index over all of it; runs of foreign words are one symbol."""
     own = np.concatenate([[False], codes > OTHER, [False]])
     edge = np.flatnonzero(own[1:] != own[:-1])
     begins, ends = edge[::2], edge[1::2]
-    long = ends - begins >= p.shortest
-    begins, ends = begins[long], ends[long]
     if not len(begins):
         return
     size = ends - begins + 1  # a separator after each
@@ -260,102 +259,137 @@ class Shard:
         return [(spans.get(k, []), sorted(items.get(k, ()))) for k in range(len(begin) - 1)]
 
 
-def _benchmark(benchmark: DataFrame, item_col: str, text_col: str, window: int):
-    """The windows, broadcast: a benchmark is a test set of a size that does not grow with the corpus. Checked."""
-    size = benchmark.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-    if size > MAX_BENCHMARK:
-        raise ValueError(f"the benchmark has {size} bytes; at most {MAX_BENCHMARK} are broadcast: split it and merge the spans")
-    rows = benchmark.select(F.col(item_col), F.col(text_col).cast("string")).collect()
-    found = phrases([(i, (t or "").encode()) for i, t in rows], window)
-    return session(benchmark.sparkSession).sparkContext.broadcast(found)
+def _parts(benchmark: DataFrame, item_col: str, text_col: str, window: int, part: int) -> list:
+    """The benchmark's windows, broadcast in parts of about ``part`` bytes of text, dealt by a hash of the item."""
+    rows = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[text_col].cast("string").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-size // part))
+    sc = session(benchmark.sparkSession).sparkContext
+    out = []
+    for k in range(n):
+        own = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else rows
+        out.append(sc.broadcast(phrases([(r["item"], (r["text"] or "").encode()) for r in own.collect()], window)))
+    return out
+
+
+_FOUND = "array<struct<start: long, end: long>>"
+_FOUND_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _joined(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of spans, in order; those that touch become one."""
+    out: list[tuple[int, int]] = []
+    for x, y in sorted([*a, *b]):
+        if out and x <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], y))
+        else:
+            out.append((x, y))
+    return out
+
+
+def _searched(batches: Iterator[pa.RecordBatch], p: Phrases, text_col: str, shard: int, before: tuple[str, str] | None):
+    """(batch, texts, spans and items of each row) of some rows at a time, with what earlier passes found."""
+    index, held = Shard(p, shard), []
+
+    def out():
+        found = iter(index.results())
+        for b, values, sizes in held:
+            own = [next(found) for _ in values]
+            if before:
+                earlier = zip(*(b.column(c).to_pylist() for c in before))
+                own = [(_joined(s, [(x["start"], x["end"]) for x in es]), sorted({*i, *ei})) for (s, i), (es, ei) in zip(own, earlier)]
+            yield b, values, sizes, own
+
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1000):
+            b = whole.slice(at, 1000)
+            values, sizes, full = b.column(text_col).cast(pa.string()).cast(pa.binary()).to_pylist(), [], False
+            for v in values:
+                words = words_of(v or b"")
+                sizes.append(len(words))
+                full = index.add(words) or full
+            held.append((b, values, sizes))
+            if full:
+                yield from out()
+                held = []
+    if held:
+        yield from out()
+
+
+def _passes(docs: DataFrame, parts: list, text_col: str, shard: int) -> tuple[DataFrame, tuple[str, str] | None]:
+    """``docs`` after a pass for each part of the benchmark but the last, with two columns for what these found, if there are any."""
+    if len(parts) == 1:
+        return docs, None
+    extra = "__fm_spans", "__fm_items"
+    names = docs.columns
+    docs = docs.withColumns({extra[0]: F.expr(f"cast(array() as {_FOUND})"), extra[1]: F.expr("cast(array() as array<string>)")})
+    for given in parts[:-1]:
+
+        def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
+            for b, _, _, own in _searched(batches, given.value, text_col, shard, extra):
+                spans = pa.array([[{"start": x, "end": y} for x, y in s] for s, _ in own], _FOUND_TYPE)
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), spans, pa.array([i for _, i in own], pa.list_(pa.string()))], [*names, *extra])
+
+        docs = stored(mapped(docs, run, docs.schema), "fm-pass")
+    return docs, extra
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, shard: int = SHARD) -> DataFrame:
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shard: int = SHARD, part: int = PART
+) -> DataFrame:
     """(id, n_words, n_hit, spans, items) of every row of ``docs``: merged spans [start, end) in words of all
     occurrences of benchmark windows, and the sorted ids of the items they come from.
 
     Words: A-Z lower-cased, then runs of digits, a-z and non-ASCII characters. An item of fewer words than
     ``window`` is one window; one without words is none. Null texts have no words. An item with a null id
-    marks words but is not listed. Items that share an id count once. Empty tables give no rows or no hits. Other columns are not read.
+    marks words but is not listed. Items that share an id count once. Rows that repeat each get a row. Empty tables give no rows or no hits.
+    Other columns are not read.
     """
-    given = _benchmark(benchmark, item_col, "text", window)
+    parts = _parts(benchmark, item_col, item_text_col, window, part)
+    rows, before = _passes(text_table(docs, id_col, text_col), parts, "text", shard)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, ids, sizes = Shard(given.value, shard), [], []
-
-        def out() -> pa.RecordBatch:
-            found = index.results()
-            return pa.RecordBatch.from_arrays(
+        for b, _, sizes, own in _searched(batches, parts[-1].value, "text", shard, before):
+            yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids, pa.int64()),
+                    b.column("id").cast(pa.int64()),
                     pa.array(sizes, pa.int64()),
-                    pa.array([sum(b - a for a, b in s) for s, _ in found], pa.int64()),
-                    pa.array([[{"start": a, "end": b} for a, b in s] for s, _ in found], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    pa.array([i for _, i in found], pa.list_(pa.string())),
+                    pa.array([sum(y - x for x, y in s) for s, _ in own], pa.int64()),
+                    pa.array([[{"start": x, "end": y} for x, y in s] for s, _ in own], _FOUND_TYPE),
+                    pa.array([i for _, i in own], pa.list_(pa.string())),
                 ],
                 ["id", "n_words", "n_hit", "spans", "items"],
             )
 
-        for b in batches:
-            for i, t in zip(b.column("id").to_pylist(), b.column("text").cast(pa.binary())):
-                words = words_of(t.as_py() or b"")
-                ids.append(i)
-                sizes.append(len(words))
-                if index.add(words):
-                    yield out()
-                    ids, sizes = [], []
-        if ids:
-            yield out()
+    return mapped(rows, run, f"id long, n_words long, n_hit long, spans {_FOUND}, items array<string>")
 
-    schema = "id long, n_words long, n_hit long, spans array<struct<start: long, end: long>>, items array<string>"
-    return mapped(text_table(docs, id_col, text_col), run, schema)
 
+def _cut(raw: bytes, spans: list[tuple[int, int]]) -> str:
+    """``raw`` without the words of the spans, from the first one's start to the last one's end; a space stays between what a cut parted."""
+    at = [m.span() for m in re.finditer(rb"[^ ]+", raw.translate(PLAIN))]
+    out, last = [], 0
+    for a, b in spans:
+        out.append(raw[last : at[a][0]].rstrip(b" "))
+        last = at[b - 1][1]
+    out.append(raw[last:].lstrip(b" "))
+    return b" ".join(x for x in out if x).decode()
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, shard: int = SHARD) -> DataFrame:
-    """``docs`` with every word that lies in an occurrence of a benchmark window cut out of its text, from the
-    first hit word's start to the last one's end; a space stays between what it parted. All rows and columns stay, and null texts."""
-    import re
 
-    given = _benchmark(benchmark, "item_id", "text", window)
+def decontaminated(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shard: int = SHARD, part: int = PART
+) -> DataFrame:
+    """``docs`` with every word that lies in an occurrence of a benchmark window cut out of its text. All rows and columns stay, repeated
+    rows and null texts too; an empty benchmark changes nothing."""
+    parts = _parts(benchmark, item_col, item_text_col, window, part)
     names = docs.columns
-
-    def cut(text: str, spans: list[tuple[int, int]]) -> str:
-        raw = text.encode()
-        at = [m.span() for m in re.finditer(rb"[^ ]+", raw.translate(_SPACED))]
-        out, last = [], 0
-        for a, b in spans:
-            out.append(raw[last : at[a][0]].rstrip(b" "))
-            last = at[b - 1][1]
-        out.append(raw[last:].lstrip(b" "))
-        return b" ".join(x for x in out if x).decode()
+    rows, before = _passes(docs, parts, text_col, shard)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, held, size = Shard(given.value, shard), [], 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            found = iter(index.results())
-            for b, values in held:
-                new = pa.array([v if v is None or not s else cut(v, s) for v, (s, _) in zip(values, found)], pa.string())
-                yield pa.RecordBatch.from_arrays([new if c == text_col else b.column(c) for c in names], names)
-
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                values, full = b.column(text_col).to_pylist(), False
-                for v in values:
-                    full = index.add(words_of((v or "").encode())) or full
-                held.append((b, values))
-                if full:
-                    yield from out()
-                    held = []
-        if held:
-            yield from out()
-
-    return mapped(docs, run, docs.schema)
-
-
-#: As ``PLAIN``, for finding where words stand.
-_SPACED = PLAIN
+        for b, values, _, own in _searched(batches, parts[-1].value, text_col, shard, before):
+            new = pa.array([None if v is None else _cut(v, s) if s else v.decode() for v, (s, _) in zip(values, own)], pa.string())
+            yield pa.RecordBatch.from_arrays([new if c == text_col else b.column(c) for c in names], names)
+
+    return mapped(rows, run, docs.schema)
 
 
 def op9_fm_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -69,5 +69,12 @@ def test_cases(spark):
     assert clean.columns == d.columns
     texts = {r.doc_id: r.text for r in clean.collect()}
     assert texts[1] == "x y" and texts[2] is None and texts[3] == "" and texts[5] == "" and texts[7] == ""
+    again = fm.decontaminated(d.union(d), b)
+    assert again.count() == 14 and {tuple(r) for r in again.select("doc_id", "text").collect()} == {tuple(r) for r in clean.select("doc_id", "text").collect()}
+    # A benchmark in many parts, under another name of its column: the same, one pass for each part.
+    other = b.withColumnsRenamed({"text": "body", "item_id": "item"})
+    how = {"item_text_col": "body", "item_col": "item", "part": 40}
+    assert {r.id: (r.n_words, r.n_hit, r.items) for r in fm.contamination(d.withColumnRenamed("text", "page"), other, text_col="page", **how).collect()} == got
+    assert {r.doc_id: r.text for r in fm.decontaminated(d, other, **how).collect()} == texts
     assert fm.contamination(d.limit(0), b).count() == 0
     assert fm.contamination(d, b.limit(0)).where("n_hit > 0").count() == 0
