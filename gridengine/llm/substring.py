@@ -1,11 +1,14 @@
-"""Exact substring dedup by suffix automata of reference shards.
+"""Substring dedup by suffix automata of reference shards.
 
 Against a given reference, its shards' automata are broadcast and every document streams through them; its matching
 statistics give the maximal spans to remove. Within a corpus the reference is the corpus itself and grows with it, so its
 shards are not broadcast but routed: every window of ``WINDOW`` words goes, with its neighbours, to the shard of its smallest gram's hash, where
 all windows with the same words meet. Stretches that hold no recurring gram are left out, copies of a stretch
 are pre-aggregated to the first, and a shard's automaton takes the different stretches in order of their first place: each streams through
-what came before it, then extends it. Grams with very many different stretches are settled window by window.
+what came before it, then extends it. A gram with very many different stretches is cut finer: its stretches are parted into windows, and a
+shard is what also agrees on the window's hash, so no automaton is unbounded and no gram stays in one task.
+
+A word is known by a 64-bit hash, and copies of a stretch by another of these; texts are exact up to equal hashes.
 """
 
 from __future__ import annotations
@@ -21,10 +24,10 @@ from .common import SQL_WORDS, discard, ids64, mapped, mixed, session, sliding_s
 
 #: Words of a window; words of the grams whose smallest hash routes a window.
 WINDOW, GRAM = 20, 6
-#: Different stretches of a gram up to which one automaton takes them.
-MAX_STRETCHES = 2048
-#: Words of a broadcast shard, and of a reference that is broadcast at most.
-SHARD_WORDS, MAX_REFERENCE_WORDS = 200_000, 5_000_000
+#: Different stretches of a gram from which its shard is cut finer.
+MAX_STRETCHES = 256
+#: Words of a broadcast shard, and of those that are broadcast at a time.
+SHARD_WORDS, PASS_WORDS = 200_000, 2_000_000
 #: Words that are cut into stretches at a time.
 BLOCK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
@@ -100,8 +103,10 @@ class Automaton:
 def segments(ids: np.ndarray, bounds: np.ndarray, window: int = WINDOW, gram: int = GRAM):
     """Cuts the windows of concatenated texts (text k: ``bounds[k]`` to ``bounds[k + 1]``) into runs that share the place of their smallest gram.
 
-    (text, start in the text, windows, hash of the gram, hash of the run's words and of the gram's place in it).
+    (text, start in the text, windows, hash of the gram, hash of the run's words and of the gram's place in it). A run has at most
+    ``window - gram + 1`` windows, of which 62 have a bit in a mask.
     """
+    gram = max(gram, window - 61)
     n = len(ids) - window + 1
     none = (np.zeros(0, np.int64),) * 5
     if n <= 0:
@@ -205,23 +210,42 @@ def _automata(window: int):
                 else:
                     masks.append(sum(1 << k for k, m in enumerate(automaton.matches(words)[window - 1 :]) if m >= window))
                 automaton.add(words)
-            yield pa.RecordBatch.from_arrays([b.column("g"), b.column("s"), pa.array(masks, pa.int32())], ["g", "s", "mask"])
+            yield pa.RecordBatch.from_arrays([b.column("g"), b.column("s"), pa.array(masks, pa.int64())], ["g", "s", "mask"])
 
     return run
 
 
-def _window_hashes(window: int):
-    """(g, s, id, start, o, a, b): two hashes of each window of a stretch."""
+def _windows(window: int):
+    """(g, s, id, start, o, a, words): each window of a stretch, its place in it and the hash that it is routed by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.column("n").to_numpy()
+            n = batch.column("n").to_numpy().astype(np.int64)
             words = [np.frombuffer(x, np.uint64) for x in batch.column("words").to_pylist()]
             with np.errstate(over="ignore"):
-                hashes = [mixed(np.concatenate([sliding_sums(w, window, base) for w in words] or [np.zeros(0, np.uint64)])).view(np.int64) for base in (_BASE, 0xD1B54A32D192ED03)]
+                hashes = mixed(np.concatenate([sliding_sums(w, window, 0xD1B54A32D192ED03) for w in words] or [np.zeros(0, np.uint64)])).view(np.int64)
             offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            columns = [np.repeat(batch.column(c).to_numpy(), n) for c in ("g", "s", "id", "start")] + [offset.astype(np.int32), *hashes]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["g", "s", "id", "start", "o", "a", "b"])
+            raw = [w[k : k + window].tobytes() for w, m in zip(words, n.tolist()) for k in range(m)]
+            columns = [np.repeat(batch.column(c).to_numpy(), n) for c in ("g", "s", "id", "start")] + [offset.astype(np.int32), hashes]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(raw, pa.binary())], ["g", "s", "id", "start", "o", "a", "words"])
+
+    return run
+
+
+def _same(window: int):
+    """Of pairs of windows that were routed to one shard, the later one's bit where the earlier one's automaton holds it whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, automaton = None, None
+        for b in batches:
+            held = []
+            for first, own in zip(b.column("first").to_pylist(), b.column("words").to_pylist()):
+                if first != now:
+                    now, automaton = first, Automaton()
+                    automaton.add(np.frombuffer(first, np.uint64).tolist())
+                held.append(automaton.matches(np.frombuffer(own, np.uint64).tolist())[-1] >= window)
+            keep = pa.array(held, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("g", "s", "o")], ["g", "s", "o"]).filter(keep)
 
     return run
 
@@ -244,16 +268,18 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     words = stored(_with_words(rows.join(wanted, "id"), window, gram), "substring-words")
     discard(several)
     sorted_words = words.where("not hot").dropDuplicates(["g", "s"]).repartition("g").sortWithinPartitions("g", "id", "start").select("g", "s", "n", "words")
-    masks = mapped(sorted_words, _automata(window), "g long, s long, mask int")
-    each = stored(mapped(words.where("hot"), _window_hashes(window), "g long, s long, id long, start int, o int, a long, b long"), "substring-windows")
-    earliest = stored(each.groupBy("a", "b").agg(F.min(F.struct("id", (F.col("start") + F.col("o")).alias("place"))).alias("at")), "substring-earliest")
-    later = each.join(earliest, ["a", "b"]).where((F.col("at.id") < F.col("id")) | ((F.col("at.id") == F.col("id")) & (F.col("at.place") < F.col("start") + F.col("o"))))
-    hot_masks = later.select("g", "s", F.expr("shiftleft(1, o)").alias("bit")).groupBy("g", "s").agg(F.expr("bit_or(bit)").alias("mask"))
-    known = stored(first.join(masks.union(hot_masks), ["g", "s"], "left").select("g", "s", F.col("id").alias("first_id"), F.col("start").alias("first_start"), F.coalesce("mask", F.lit(0)).alias("mask")), "substring-known")
+    masks = mapped(sorted_words, _automata(window), "g long, s long, mask long")
+    each = stored(mapped(words.where("hot"), _windows(window), "g long, s long, id long, start int, o int, a long, words binary"), "substring-windows")
+    place = F.struct("id", (F.col("start") + F.col("o")).alias("place"))
+    earliest = stored(each.groupBy("g", "a").agg(F.min(F.struct(place.alias("at"), F.col("words").alias("first"))).alias("x")).select("g", "a", "x.at", "x.first"), "substring-earliest")
+    later = each.join(earliest, ["g", "a"]).where(F.col("at") < place).select("g", "s", "o", "first", "words")
+    bits = mapped(later, _same(window), "g long, s long, o int").select("g", "s", F.expr("shiftleft(1L, o)").alias("bit"))
+    hot_masks = bits.groupBy("g", "s").agg(F.expr("bit_or(bit)").alias("mask"))
+    known = stored(first.join(masks.union(hot_masks), ["g", "s"], "left").select("g", "s", F.col("id").alias("first_id"), F.col("start").alias("first_start"), F.coalesce("mask", F.lit(0).cast("long")).alias("mask")), "substring-known")
     for x in (words, each, earliest, first):
         discard(x)
     own = (F.col("id") == F.col("first_id")) & (F.col("start") == F.col("first_start"))
-    found = held.join(known, ["g", "s"]).select("id", "start", F.when(own, F.col("mask")).otherwise(F.expr("shiftleft(1, n) - 1")).alias("mask")).where("mask <> 0")
+    found = held.join(known, ["g", "s"]).select("id", "start", F.when(own, F.col("mask")).otherwise(F.expr("shiftleft(1L, n) - 1")).alias("mask")).where("mask <> 0")
     return found.groupBy("id").agg(F.collect_list(F.struct("start", "mask")).alias("found"))
 
 
@@ -297,45 +323,65 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("id", F.when(F.col("id") != _NONE, F.col("id")))
 
 
-def without_reference(docs: DataFrame, reference: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+def without_reference(docs: DataFrame, reference: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, pass_words: int = PASS_WORDS) -> DataFrame:
     """(id, n_words, n_removed, text) of every row of ``docs``, without the maximal spans of at least ``window`` words that occur in a
-    text of ``reference``. Shards of the reference are made to automata and broadcast one after another; a reference of more than
-    ``MAX_REFERENCE_WORDS`` words is refused. Nulls and empty texts on either side have no words."""
-    size = reference.agg(F.sum(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] or 0
-    if size > MAX_REFERENCE_WORDS:
-        raise ValueError(f"the reference has {size} words; at most {MAX_REFERENCE_WORDS} are broadcast: use without_repeats on the union")
+    text of ``reference``.
+
+    Shards of the reference are made to automata and broadcast; a reference of any size takes one pass over ``docs`` for each
+    ``pass_words`` words (a text is never cut, so a shard can be longer than ``shard_words`` by one). Nulls and empty texts on either side
+    have no words. Rows that repeat, on either side, each count and each get a row; other columns are not read.
+    """
     sc = session(docs.sparkSession).sparkContext
-    shards, own, n = [], Automaton(), 0
+    rows = text_table(docs, id_col, text_col).select(F.col("id").cast("long").alias("id"), "text", F.expr("cast(array() as array<struct<start: int, end: int>>)").alias("gone"))
+
+    def searched(rows: DataFrame, shards: list) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: dict[bytes, int] = {}
+            for b in batches:
+                out = []
+                for t, gone in zip(b.column("text").cast(pa.binary()), b.column("gone").to_pylist()):
+                    ids = ids64((t.as_py() or b"").split(), seen).tolist()
+                    found = list(gone)
+                    for shard in shards:
+                        m = shard.value.matches(ids)
+                        # A span is maximal where the next place does not go on with it.
+                        found += [{"start": k + 1 - n, "end": k + 1} for k, n in enumerate(m) if n >= window and (k + 1 == len(m) or m[k + 1] != n + 1)]
+                    out.append(found)
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text"), pa.array(out, b.column("gone").type)], ["id", "text", "gone"])
+
+        return mapped(rows, run, rows.schema)
+
+    shards, own, n, total = [], Automaton(), 0, 0
     for (t,) in reference.select(F.col(text_col).cast("string")).toLocalIterator():
         words = ids64((t or "").encode().split(), {}).tolist()
         own.add(words)
-        n += len(words)
+        n, total = n + len(words), total + len(words)
         if n >= shard_words:
             shards.append(sc.broadcast(own))
             own, n = Automaton(), 0
+        if total >= pass_words:
+            rows = stored(searched(rows, shards + ([sc.broadcast(own)] if n else [])), "substring-pass")
+            shards, own, n, total = [], Automaton(), 0, 0
     if n:
         shards.append(sc.broadcast(own))
+    rows = searched(rows, shards) if shards else rows
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, gone, kept = [], [], []
-            for t in b.column("text").cast(pa.binary()):
+            for t, spans in zip(b.column("text").cast(pa.binary()), b.column("gone").to_pylist()):
                 words = (t.as_py() or b"").split()
-                ids = ids64(words, seen).tolist()
                 edge = np.zeros(len(words) + 1, np.int64)
-                for shard in shards:
-                    for k, m in enumerate(shard.value.matches(ids)):
-                        if m >= window:
-                            edge[k + 1 - m] += 1
-                            edge[k + 1] -= 1
+                for x in spans:
+                    edge[x["start"]] += 1
+                    edge[x["end"]] -= 1
                 left = [w for w, d in zip(words, np.cumsum(edge).tolist()) if not d]
                 n.append(len(words))
                 gone.append(len(words) - len(left))
                 kept.append(b" ".join(left).decode())
-            yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "text"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "text"])
 
-    return mapped(text_table(docs, id_col, text_col), run, "id long, n_words long, n_removed long, text string")
+    return mapped(rows, cut, "id long, n_words long, n_removed long, text string")
 
 
 def op6_suffix_automata(spark, sf_dir: str) -> DataFrame:

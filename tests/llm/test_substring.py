@@ -66,6 +66,17 @@ def test_made_corpora(spark, seed, most):
     assert got == want and sum(x[1] for x in want.values()) > 500
 
 
+@pytest.mark.parametrize("window", [7, 50, 70])
+def test_other_windows(spark, window):
+    docs = made(5, vocabulary=60)
+    docs += [(1000 + k, " ".join(docs[k][1].split() * 3)) for k in range(0, 40, 2)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = brute(docs, window)
+    for most in (2048, 1):
+        assert {r.id: (r.n_words, r.n_removed, r.text) for r in sub.without_repeats(d, window=window, max_stretches=most).collect()} == want
+    assert sum(x[1] for x in want.values()) > 100
+
+
 def test_whole_table_against_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
@@ -89,9 +100,11 @@ def test_reference(spark):
     p = " ".join(f"p{k}" for k in range(60))
     ref = spark.createDataFrame([("zzz " + p,), (None,), ("q " * 30,)], "text string")
     docs = spark.createDataFrame([(1, "a " + p[: p.index("p30")] + "b"), (2, "a " + p[: p.index("p15")] + "b"), (3, None), (4, "q " * 50)], "doc_id long, text string")
-    for words in (10, sub.SHARD_WORDS):
-        got = {r.id: (r.n_words, r.n_removed) for r in sub.without_reference(docs, ref, shard_words=words).collect()}
-        assert got == {1: (32, 30), 2: (17, 0), 3: (0, 0), 4: (50, 50)}
+    odd = docs.union(docs).withColumn("id", F.lit("c")).withColumn("gone", F.lit("c")).withColumn("n_words", F.lit("c"))
+    for words, at_once in ((10, 40), (10, 10**9), (sub.SHARD_WORDS, 1), (sub.SHARD_WORDS, sub.PASS_WORDS)):  # several passes, one
+        rows = sub.without_reference(odd, ref.union(ref), shard_words=words, pass_words=at_once).collect()
+        assert len(rows) == 8
+        assert {r.id: (r.n_words, r.n_removed) for r in rows} == {1: (32, 30), 2: (17, 0), 3: (0, 0), 4: (50, 50)}
     assert sub.without_reference(docs, ref.limit(0)).agg(F.sum("n_removed")).first()[0] == 0
 
 
