@@ -19,14 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import LOWER, ids64, mapped, mixed, popcount, session, sliding_sums, stored, text_table, texts
+from .common import LOWER, discard, ids64, mapped, mixed, popcount, session, sliding_sums, stored, text_table, texts
 
 #: Rows of a chunk of a key's group.
 CHUNK = 4096
+#: Rows that may meet under a key by chance, before keys are made longer.
+MEET = 256
 #: Most texts under one shingle whose pairs are all listed, and rows of a chunk where there are more.
 LISTED, SET_CHUNK = 64, 512
 #: Shingles that are counted at a time, and most frequent ones that are broadcast; they only order the others.
@@ -183,9 +185,13 @@ def links(nodes: DataFrame, distance: int = 4, blocks: int | None = None, chunk:
     """(u, v): enough of the pairs within ``distance`` of the table (node long, fp long) to connect all that are
     connected by such pairs.
 
-    Of ``blocks`` (by default two more than ``distance``) all but ``distance`` make a key; more blocks give more and longer keys, for more rows.
+    Of ``blocks`` all but ``distance`` make a key. By default there are two more than ``distance``, and more for very many rows: more blocks
+    give more and longer keys, so that few rows meet under one by chance (``MEET``).
     """
-    blocks = blocks or distance + 2
+    if blocks is None:
+        n, blocks = nodes.count(), distance + 2
+        while n >> (64 * (blocks - distance) // blocks) > MEET and blocks < distance + 6:
+            blocks += 1
     edges = [round(64 * k / blocks) for k in range(blocks + 1)]
     cut = [(edges[k], edges[k + 1] - edges[k]) for k in range(blocks)]
 
@@ -214,21 +220,29 @@ def links(nodes: DataFrame, distance: int = 4, blocks: int | None = None, chunk:
     return mapped(together, _group_edges(distance), "u long, v long").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def _instead(df: DataFrame, name: str, *old: DataFrame) -> DataFrame:
+    """``df`` as a table, and the tables that it came from removed."""
+    new = stored(df, name)
+    for x in old:
+        discard(x)
+    return new
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of the edges (u < v) reaches, by alternating
     large and small star contractions. Minima are aggregated before the shuffle and joined from a written
-    table, so that a node with very many links is split. Stops when a round changes nothing."""
+    table, so that a node with very many links is split. Goes on until a round changes nothing."""
     edges = stored(edges.select("u", "v"), "star")
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "star-min")
         large = both.join(least, "u").where("v > u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
-        edges = stored(large, "star-large")
+        edges = _instead(large, "star-large", edges, least)
         down = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))  # from each node to its smaller ones
         least = stored(down.groupBy("u").agg(F.min("v").alias("m")), "star-min")
         small = down.join(least, "u").select(F.col("m").alias("u"), "v").where("u <> v").union(least.select(F.col("m").alias("u"), F.col("u").alias("v"))).distinct()
-        edges = stored(small, "star-small")
+        edges = _instead(small, "star-small", edges, least)
         now = tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
         if now == before:
             break
@@ -450,7 +464,7 @@ def similar_links(docs: DataFrame, known: DataFrame, similarity: float, text_col
 
 
 def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float | None) -> DataFrame:
-    """(id, fp, own, component) of every row; ``own`` is the text's XXH64. Nodes are the different texts."""
+    """(id, fp, own, grp, component) of every row; ``own`` is the text's XXH64, ``grp`` its group's number. Nodes are the different texts."""
     fps = stored(fingerprints(docs, id_col, text_col, 4, own=True), "simhash-fps")
     different = stored(fps.where("id is not null").groupBy("own").agg(F.min("fp").alias("fp"), F.min("id").alias("id")), "simhash-texts")
     nodes = stored(different.groupBy("fp").agg(F.min("own").alias("node")), "simhash-nodes")
@@ -463,8 +477,8 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarit
         merged = components(edges).select(F.col("node").alias("comp"), F.col("component").alias("whole"))
         known = stored(known.join(merged, "comp", "left").select("own", "fp", "id", F.coalesce("whole", "comp").alias("comp")), "simhash-known")
     least = known.groupBy("comp").agg(F.min("id").alias("component"))
-    named = stored(known.select("fp", "comp").distinct().join(least, "comp").select("fp", "component"), "simhash-named")
-    return fps.join(named, "fp", "left").select("id", "fp", "own", "component")
+    named = stored(known.select("fp", "comp").distinct().join(least, "comp").select("fp", F.col("comp").alias("grp"), "component"), "simhash-named")
+    return fps.join(named, "fp", "left").select("id", "fp", "own", "grp", "component")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -475,19 +489,25 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = 0.8) -> DataFrame:
     """``docs`` without the rows whose id is not the smallest of their text's group (``similar_groups``; without ``similarity``, SimHash
-    links only); of rows that share an id one stays.
+    links only). Of a group's rows that share that id one stays: the first by its text's hash, then by the other columns as JSON.
 
     Rows with a null id stay. All columns are kept.
     """
     groups = stored(_groups(docs, id_col, text_col, 5, similarity), "simhash-groups")
+    own = F.xxhash64(docs[text_col].cast("string"))
     gone = groups.where("id <> component").select(F.col("id").alias("gone_id"), F.col("own").alias("gone_own")).distinct()
-    same = (docs[id_col] == gone["gone_id"]) & (F.xxhash64(docs[text_col].cast("string")) == gone["gone_own"])
-    kept = docs.join(gone, same, "left_anti").select(*docs.columns)
-    again = groups.where("id = component").groupBy(F.col("id").alias(id_col)).count().where("count > 1").select(id_col)
+    kept = docs.join(gone, (docs[id_col] == gone["gone_id"]) & (own == gone["gone_own"]), "left_anti").select(*docs.columns)
+    again = groups.where("id = component").groupBy(F.col("id").alias("again_id"), "grp").agg(F.count("*").alias("again_n"), F.collect_set("own").alias("again_own")).where("again_n > 1")
+    again = stored(again.select("again_id", F.col("grp").alias("again_grp"), F.explode("again_own").alias("again_own")), "simhash-again")
     if again.isEmpty():
         return kept
-    once = kept.join(again, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
-    return kept.join(again, id_col, "left_anti").select(*docs.columns).union(once)
+    same = (kept[id_col] == again["again_id"]) & (F.xxhash64(kept[text_col].cast("string")) == again["again_own"])
+    names = [F.col(f"row.{c}") if "." not in c else F.col(f"row.`{c}`") for c in docs.columns]
+    whole = F.struct(*(kept[c] for c in docs.columns)).alias("row")
+    few = kept.join(again, same).select("again_id", "again_grp", "again_own", whole)
+    place = Window.partitionBy("again_id", "again_grp").orderBy("again_own", F.to_json("row"))
+    once = few.withColumn("place", F.row_number().over(place)).where("place = 1").select(*names)
+    return kept.join(again, same, "left_anti").select(*docs.columns).union(once)
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

@@ -123,6 +123,22 @@ def test_chain_of_links(spark):
     assert got == {**{i: 0 for i in range(301)}, 400: 400, 401: 400}
 
 
+def test_long_chains_are_not_left_unfinished(spark):
+    rng = np.random.default_rng(2)
+    order = rng.permutation(3000).tolist()
+    edges = spark.createDataFrame([(min(a, b), max(a, b)) for a, b in zip(order, order[1:])], "u long, v long")
+    assert {r.component for r in simhash.components(edges).collect()} == {0}
+
+
+def test_keys_of_more_blocks_find_the_same(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 60)
+    fps = sorted({int(b) ^ sum(1 << int(k) for k in rng.choice(62, rng.integers(0, 6), replace=False)) for b in base for _ in range(6)})
+    nodes = spark.createDataFrame(list(enumerate(fps)), "node long, fp long")
+    found = [{tuple(r) for r in simhash.components(simhash.links(nodes, blocks=n)).collect()} for n in (6, 7, 8)]
+    assert found[0] == found[1] == found[2] and len(found[0]) > 200
+
+
 def prose(rng, n):
     return [f"w{k}" for k in rng.integers(0, 4000, n)]
 
@@ -212,3 +228,34 @@ def test_another_text_of_a_removed_id_stays(spark):
     d = spark.createDataFrame([(1, a), (5, a), (5, b), (7, b), (None, a)], "doc_id long, text string")
     for similarity in (0.8, None):
         assert sorted(map(tuple, simhash.deduplicated(d, similarity=similarity).collect()), key=str) == sorted([(1, a), (5, b), (None, a)], key=str)
+
+
+def test_rows_of_one_id_and_group_leave_the_same_one(spark):
+    rng = np.random.default_rng(16)
+    a, b = prose(rng, 60), " ".join(prose(rng, 50))
+    near = " ".join(a[:-1] + ["other"])
+    a = " ".join(a)
+    rows = [(1, a, "x"), (1, near, "y"), (1, a, "w"), (1, b, "z"), (1, b, "z"), (2, a, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, place string")
+    kept = [sorted(tuple(r) for r in simhash.deduplicated(d.repartition(n)).collect()) for n in (1, 3, 7)]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 2 and (1, b, "z") in kept[0]
+
+
+def test_recall_on_a_whole_table(spark):
+    """All pairs with 0.8 of their five-word shingles in common, by brute force over an inverted index: none is left apart."""
+    from collections import Counter, defaultdict
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    sets = {r.doc_id: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for r in rows for w in [r.text.lower().split()]}
+    by = defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            by[x].append(i)
+    common = Counter()
+    for ids in by.values():
+        for k, i in enumerate(ids):
+            for j in ids[:k]:
+                common[min(i, j), max(i, j)] += 1
+    alike = [(i, j) for (i, j), c in common.items() if c >= 0.8 * (len(sets[i]) + len(sets[j]) - c)]
+    comp = {r.id: r.component for r in simhash.similar_groups(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    assert len(alike) > 30 and all(comp[i] == comp[j] for i, j in alike)
