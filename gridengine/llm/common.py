@@ -9,6 +9,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -50,11 +51,11 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back.
 
-    This cuts lineage (a lost executor costs no recomputation of what came before), and the JVM is asked
-    to collect its garbage, so that the shuffle files behind ``df`` are removed early. The files go when the
-    application ends.
+    This cuts lineage (a lost executor costs no recomputation of what came before). After a job of some length the JVM is
+    asked to collect its garbage, so that the shuffle files behind ``df`` are removed early. The files go when the
+    application ends, or by ``discard``.
     """
-    spark = df.sparkSession
+    spark, began = df.sparkSession, time.monotonic()
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     jvm = spark.sparkContext._jvm
@@ -62,8 +63,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     schema = df.schema
     del df
-    gc.collect()
-    jvm.System.gc()
+    if time.monotonic() - began > 4:
+        gc.collect()
+        jvm.System.gc()
     found = spark.read.schema(schema).parquet(at)
     found._stored_at = at
     return found
