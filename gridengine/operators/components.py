@@ -7,12 +7,12 @@ joined to components sheet by sheet.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Where a host's satellites may stand: of what sort, rows off which edge. A totals row has a blank row above it, a title one or two below.
+PLACES = (("totals", "r1", 2), ("title", "r0", -2), ("title", "r0", -3))
 #: Rows of a tile of rectangles, as bits.
 TILE = 16
 _BOX = "book string, sheet_lc string, box int, top int, left int, comp_bottom int, bottom int, right int, totals_top int, t_top int, t_left int, t_bottom int, t_right int"
@@ -93,62 +93,45 @@ def components(rects: list[list[int]]) -> list[list[int]]:
     return sorted(boxes, key=lambda b: (b[0], b[2]))
 
 
-def _satellites(boxes: list[list[int]], rows: dict[tuple[int, int], dict]) -> Iterator[dict]:
-    """Each box that is no satellite, with its totals row (one blank row below) and title (one or two blank rows above).
+def _claims(flat: pd.DataFrame, tall: pd.DataFrame) -> pd.DataFrame:
+    """(host, step, fragment, ...): which boxes of one row stand where a host's satellites may (``PLACES``), within a column of its columns."""
+    found = []
+    for step, (sort, edge, off) in enumerate(PLACES):
+        met = tall.assign(row=tall[edge] + off).merge(flat, on="row")
+        near = (met.f_c0 >= met.c0 - 1) & (met.f_c1 <= met.c1 + 1)
+        above = (met.f_c1 >= met.c0) & (met.f_c0 <= met.c1)
+        found.append(met[near & above if sort == "title" else near].assign(step=step, sort=sort))
+    return pd.concat(found).sort_values(["host", "step", "fragment"])
 
-    Both are fragments: boxes of one row that lie within a column of the host's columns.
-    """
-    single: dict[int, list[int]] = {}
-    for k, (r0, r1, _, _) in enumerate(boxes):
-        if r0 == r1:
-            single.setdefault(r0, []).append(k)
+
+def _is_total(own: pd.DataFrame) -> bool:
+    label = next(iter(own.label.dropna()), "").lower()
+    under = own.f_c1.max() >= own.c0.iat[0] and own.f_c0.min() <= own.c1.iat[0]
+    return bool(under and (own.n_formula.any() or any(w in label for w in ("total", "sum", "grand"))))
+
+
+def _is_title(own: pd.DataFrame) -> bool:
+    return bool(0 < own.n.sum() <= 4 and own.n.sum() == own.n_plain.sum())
+
+
+def _with_satellites(found: list[list[int]], facts: pd.DataFrame) -> pd.DataFrame:
+    """A row for each box that is no satellite, with its totals row and title. A box of one row goes to the first host, in page order, that
+    takes it; ``facts`` says of each such box what is in it."""
+    every = pd.DataFrame(found, columns=["r0", "r1", "c0", "c1"]).rename_axis("host").reset_index()
+    flat = every[every.r0 == every.r1].merge(facts, on=["r0", "c0"]).rename(columns={"host": "fragment", "r0": "row", "c0": "f_c0", "c1": "f_c1"}).drop(columns="r1")
+    taken: dict[tuple[int, str], tuple[int, int, int]] = {}
     used: set[int] = set()
-    totals: dict[int, tuple] = {}
-    titles: dict[int, tuple] = {}
-
-    def fragments(row: int, host: list[int], overlap: bool) -> list[int]:
-        out = []
-        for k in single.get(row, ()):
-            _, _, c0, c1 = boxes[k]
-            inside = c0 >= host[2] - 1 and c1 <= host[3] + 1
-            if k not in used and inside and (not overlap or min(c1, host[3]) >= max(c0, host[2])):
-                out.append(k)
-        return out
-
-    def whole(ks: list[int]) -> tuple[int, int, int, int]:
-        return boxes[ks[0]][0], min(boxes[k][2] for k in ks), boxes[ks[0]][0], max(boxes[k][3] for k in ks)
-
-    def facts(ks: list[int]) -> list[dict]:
-        return [rows[boxes[k][0], boxes[k][2]] for k in ks]
-
-    for h, host in enumerate(boxes):
-        if host[0] == host[1] or h in used:
-            continue
-        if frags := fragments(host[1] + 2, host, False):
-            own, box = facts(frags), whole(frags)
-            label = next((f["label"] for f in own if f["label"] is not None), "").lower()
-            like_total = any(f["n_formula"] for f in own) or any(w in label for w in ("total", "sum", "grand"))
-            if like_total and min(box[3], host[3]) >= max(box[1], host[2]):
-                totals[h] = box
-                used.update(frags)
-        for up in (2, 3):
-            if host[0] - up < 1:
-                break
-            if not (frags := fragments(host[0] - up, host, True)):
-                continue
-            own = facts(frags)
-            n = sum(f["n"] for f in own)
-            if 0 < n <= 4 and n == sum(f["n_plain"] for f in own):
-                titles[h] = whole(frags)
-                used.update(frags)
-                break
-    for h, (r0, r1, c0, c1) in enumerate(boxes):
-        if h not in used:
-            total, title = totals.get(h), titles.get(h)
-            yield {
-                "top": r0, "comp_bottom": r1, "bottom": total[2] if total else r1, "left": min(c0, total[1]) if total else c0, "right": max(c1, total[3]) if total else c1,
-                "totals_top": total[0] if total else None,
-            } | dict(zip(("t_top", "t_left", "t_bottom", "t_right"), title or (None,) * 4))
+    for (host, step), own in _claims(flat, every[every.r0 < every.r1]).groupby(["host", "step"]):
+        sort = PLACES[step][0]
+        own = own[~own.fragment.isin(used)]
+        if len(own) and (host, sort) not in taken and (_is_total if sort == "totals" else _is_title)(own):
+            taken[host, sort] = int(own.row.iat[0]), int(own.f_c0.min()), int(own.f_c1.max())
+            used.update(own.fragment)
+    out = every[~every.host.isin(used)].rename(columns={"r0": "top", "r1": "comp_bottom", "c0": "left", "c1": "right"})
+    of = lambda sort, k: out.host.map({h: x[k] for (h, s), x in taken.items() if s == sort}).astype("Int32")
+    total = [of("totals", k) for k in range(3)]
+    out = out.assign(totals_top=total[0], bottom=total[0].fillna(out.comp_bottom), t_top=of("title", 0), t_left=of("title", 1), t_bottom=of("title", 0), t_right=of("title", 2))
+    return out.assign(left=pd.concat([out.left.astype("Int32"), total[1]], axis=1).min(axis=1), right=pd.concat([out.right.astype("Int32"), total[2]], axis=1).max(axis=1))
 
 
 def boxes(rects: DataFrame) -> DataFrame:
@@ -159,12 +142,9 @@ def boxes(rects: DataFrame) -> DataFrame:
     """
 
     def of_sheet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rects = pdf[["r0", "r1", "c0", "c1"]].to_numpy().tolist()
-        flat = pdf[pdf.r0 == pdf.r1]
-        facts = {(r["r0"], r["c0"]): {k: (None if k == "label" and not isinstance(r[k], str) else r[k]) for k in ("n", "n_formula", "n_plain", "label")} for r in flat.to_dict("records")}
-        found = list(_satellites(components(rects), facts))
-        out = pd.DataFrame(found).assign(book=key[0], sheet_lc=key[1])
-        out = out.sort_values(["top", "left"]).reset_index(drop=True)
+        facts = pdf.loc[pdf.r0 == pdf.r1, ["r0", "c0", "n", "n_formula", "n_plain", "label"]]
+        out = _with_satellites(components(pdf[["r0", "r1", "c0", "c1"]].to_numpy().tolist()), facts)
+        out = out.assign(book=key[0], sheet_lc=key[1]).sort_values(["top", "left"])
         out["box"] = range(len(out))
         names = [c.split()[0] for c in _BOX.split(", ")]
         return out[names].astype({c: "Int32" for c in names[2:]})
