@@ -93,157 +93,156 @@ def found(ws: Workspace, query, **how) -> list[dict]:
     return [{"workbook": d["book"], "address": d["address"], "value": _value(d["value"]), "type": d["type"], "region_id": d["region_id"]} for d in out]
 
 
-# ---- texts ---------------------------------------------------------------------------------------------------
+# ---- texts: each is a report of parts; a part has a heading and rows, and rows of one part line up --------------
 
 
-def _pad(text: str, by: str) -> str:
-    return "\n".join(by + line for line in text.split("\n"))
+def _lines(rows, indent: str = "  ") -> list[str]:
+    """Rows of one part: texts as they are, tuples in columns as wide as their widest entry, the last one free."""
+    told = [r if isinstance(r, str) else tuple("" if x is None else str(x) for x in r) for r in rows]
+    tuples = [r for r in told if isinstance(r, tuple)]
+    wide = [max((len(r[k]) for r in tuples if k < len(r) - 1), default=0) for k in range(max(map(len, tuples), default=0))]
+    out = [r if isinstance(r, str) else "  ".join([x.ljust(w) for x, w in zip(r[:-1], wide)] + [r[-1]]).rstrip() for r in told]
+    return [indent + line for text in out for line in text.split("\n")]
 
 
-def overview_text(o: dict) -> str:
-    out = [f"Sheets ({len(o['sheets'])}):"]
-    for s in o["sheets"]:
-        out.append(f"  {s['sheet']:<18} {'hidden ' if s['hidden'] else 'visible'}  {s['used_range'] or '(empty)':<12} {s['cell_count']:>6} cells  {s['formula_cell_count']:>5} formulas")
-        out += [f"      {brief_text(r)}" for r in o["regionsBySheet"][s["sheet"]]]
-    if o["definedNames"]:
-        out.append(f"Named ranges ({len(o['definedNames'])}):")
-        out += [f"  {n['name']} → {', '.join(n['ranges'])}" for n in o["definedNames"][:20]]
-    if o["externalRefs"]:
-        out.append(f"External workbooks referenced: {', '.join(o['externalRefs'])}")
-    out.append(f"Totals: {o['totalCells']} cells, {o['totalFormulaCells']} formulas across {len(o['sheets'])} sheet(s)")
-    return "\n".join(out + _warned(o["warnings"]))
+def _report(*parts: tuple) -> str:
+    """Parts (heading, rows) one below another. A part whose rows are an empty list is left out; None: a heading alone."""
+    return "\n".join(line for heading, rows in parts if heading and (rows is None or rows) for line in (heading, *_lines(rows or ())))
+
+
+def _shorter(rows: list, most: int, what: str) -> list:
+    return rows if len(rows) <= most else [*rows[:most], f"… {len(rows) - most} more{what}"]
 
 
-def _warned(warnings: list[str]) -> list[str]:
-    return ["Warnings:", *(f"  ! {w}" for w in warnings[:8]), *([f"  … {len(warnings) - 8} more"] if len(warnings) > 8 else [])] if warnings else []
+def _in(book: str | None, text: str) -> str:
+    return f"[{book}]{text}" if book else text
+
+
+def _titled(r: dict) -> str:
+    return f"“{r['title']}”" if r["title"] else ""
 
 
 def brief_text(r: dict) -> str:
-    return f"[{r['region_id']}] {r['range_a1']}  {r['kind']}  {r['row_count']}×{r['col_count']}  conf {r['confidence']}" + (f"  “{r['title']}”" if r["title"] else "")
+    return "  ".join(x for x in (f"[{r['region_id']}] {r['range_a1']}", r["kind"], f"{r['row_count']}×{r['col_count']}", f"confidence {r['confidence']}", _titled(r)) if x)
 
 
-def inspection_text(i: dict) -> str:
-    out = [i["address"] + ("  (on hidden sheet)" if i.get("sheet_hidden") else ""), f"  value:    {'(empty)' if i['value'] is None else i['value']}  [{i['type']}]"]
-    if "formula" in i:
-        out.append(f"  formula:  ={i['formula']}")
-    style = [k for k in ("bold", "italic") if i.get(k)] + ([f'numFmt "{i["num_fmt"]}"'] if "num_fmt" in i else []) + ([f"fill {i['fill']}"] if "fill" in i else [])
-    out += [f"  style:    {', '.join(style)}"] if style else []
-    out += [f"  link:     {i['hyperlink']}"] if "hyperlink" in i else []
-    if "merged" in i:
-        out.append(f"  merged:   {i['merged']['range']} (master {i['merged']['master']} = {i['merged']['value']})")
-    if "region" in i:
-        out.append(f"  region:   {brief_text(i['region'])}")
-    if i.get("precedents"):
-        out.append("  precedents:")
-        for p in i["precedents"]:
-            target = f'external "{p["external"]}"' if p["external"] else p["target"] or "(unresolved)"
-            out.append(f"    {p['raw']}  →  {target}")
-    if i["dependents_total"]:
-        more = i["dependents_total"] - len(i["dependents"])
-        out.append(f"  dependents: {', '.join(i['dependents'])}" + (f" (+{more} more)" if more else ""))
-    if i["names"]:
-        out.append(f"  named ranges: {', '.join(i['names'])}")
-    if i.get("cross_dependents"):
-        out.append(f"  cross-workbook dependents: {', '.join(i['cross_dependents'])}")
-    return "\n".join(out + ([] if i["exists"] else ["  note: cell is empty (no stored content)"]))
+def overview_text(o: dict) -> str:
+    sheets = [("sheet", "", "used", "cells", "formulas")]
+    sheets += [(s["sheet"], "hidden" if s["hidden"] else "", s["used_range"] or "(empty)", s["cell_count"], s["formula_cell_count"]) for s in o["sheets"]]
+    return _report(
+        (f"Sheets ({len(o['sheets'])}): {o['totalCells']} cells, {o['totalFormulaCells']} formulas", sheets),
+        ("Regions:", [brief_text(r) for s in o["sheets"] for r in o["regionsBySheet"][s["sheet"]]]),
+        (f"Named ranges ({len(o['definedNames'])}):", _shorter([f"{n['name']} → {', '.join(n['ranges'])}" for n in o["definedNames"]], 20, " names")),
+        (f"External workbooks referenced: {', '.join(o['externalRefs'])}" if o["externalRefs"] else "", None),
+        ("Warnings:", _shorter(o["warnings"], 8, " warnings")),
+    )
 
 
-def trace_text(node: dict) -> str:
-    out = []
+def inspection_text(i: dict) -> str:
+    style = [k for k in ("bold", "italic") if i.get(k)] + [f"{label} {i[k]}" for k, label in (("num_fmt", "format"), ("fill", "fill")) if k in i]
+    m = i.get("merged")
+    refs = [f"{p['raw']} → " + (f'external "{p["external"]}"' if p["external"] else p["target"] or "(unresolved)") for p in i.get("precedents") or ()]
+    more = i["dependents_total"] - len(i["dependents"] or ())
+    facts = {
+        "value": f"{'(empty)' if i['value'] is None else i['value']} [{i['type']}]",
+        "formula": f"={i['formula']}" if "formula" in i else "",
+        "style": ", ".join(style),
+        "link": i.get("hyperlink"),
+        "merged": f"{m['range']}, shows {m['master']} = {m['value']}" if m else "",
+        "region": brief_text(i["region"]) if "region" in i else "",
+        "refers to": "; ".join(refs),
+        "dependents": ", ".join(i["dependents"] or ()) + (f" and {more} more" if more else ""),
+        "named ranges": ", ".join(i["names"] or ()),
+        "in other workbooks": ", ".join(i.get("cross_dependents") or ()),
+        "note": "" if i["exists"] else "nothing is stored in this cell",
+    }
+    return _report((i["address"] + (" (hidden sheet)" if i.get("sheet_hidden") else ""), [f"{k}: {v}" for k, v in facts.items() if v]))
+
+
+def _node_text(n: dict) -> str:
+    value = f" = {n['value']}" if n.get("value") is not None and n["kind"] != "range" else ""
+    told = [f"={n['formula']}" if "formula" in n else "", f"{n['cellCount']} cells" if "cellCount" in n else "", "cycle" if n.get("cycle") else "", "cut here" if n.get("truncated") else "", n.get("note") or ""]
+    return n["address"] + value + "".join(f"  · {t}" for t in told if t)
+
+
+def _branches(n: dict) -> list[str]:
+    """A node's line and its children's, theirs drawn below it."""
+    out = [_node_text(n)]
+    for left, child in zip(range(len(n["children"]) - 1, -1, -1), n["children"]):
+        first, *rest = _branches(child)
+        out += [("├─ " if left else "└─ ") + first, *(("│  " if left else "   ") + x for x in rest)]
+    return out
 
-    def label(n: dict) -> str:
-        s = n["address"] + (f" = {n['value']}" if n.get("value") is not None and n["kind"] != "range" else "") + (f"  ={n['formula']}" if "formula" in n else "")
-        s += f" ({n['cellCount']} cells)" if "cellCount" in n else ""
-        return s + "  [cycle]" * bool(n.get("cycle")) + "  […]" * bool(n.get("truncated")) + (f"  — {n['note']}" if n.get("note") else "")
 
-    stack = [(node, "", "")]
-    while stack:
-        n, head, below = stack.pop()
-        out.append(head + label(n))
-        for k, c in reversed(list(enumerate(n["children"]))):
-            last = k == len(n["children"]) - 1
-            stack.append((c, below + ("└─ " if last else "├─ "), below + ("   " if last else "│  ")))
-    return "\n".join(out)
+def trace_text(node: dict) -> str:
+    return "\n".join(_branches(node))
 
 
 def summary_text(s: dict, place: int | None = None) -> str:
-    where = f"[{s['workbook']}]{s['rangeA1']}" if "workbook" in s else s["rangeA1"]
-    out = [f"{'' if place is None else f'{place}. '}[{s['regionId']}] {s['kind']} {where}  (mode {s['mode']}, ~{s['tokens']} tokens{', TRUNCATED' if s['truncated'] else ''})", _pad(s["text"], "   ")]
-    if "data" in s:
-        out.append(_pad(json.dumps(s["data"], indent=2, ensure_ascii=False, default=str), "   "))
-    return "\n".join([*out, _pad(f"sources: {', '.join(s['sourceCells'])}", "   ")])
+    head = f"[{s['regionId']}] {s['kind']} {_in(s.get('workbook'), s['rangeA1'])}: {s['mode']}, ~{s['tokens']} tokens" + (", shortened" if s["truncated"] else "")
+    data = [json.dumps(s["data"], indent=2, ensure_ascii=False, default=str)] if "data" in s else []
+    return _report((head if place is None else f"{place}. {head}", [s["text"], *data, f"from: {', '.join(s['sourceCells'])}"]))
 
 
 def packet_text(p: dict) -> str:
     c, o = p["seedCell"], p["options"]
-    seed = f"Seed {p['seed']} = {'(empty)' if c['value'] is None else c['value']} [{c['type']}]" + (f"  ={c['formula']}" if "formula" in c else "") + (f"  region {c['regionId']}" if "regionId" in c else "")
-    seed += f"  names: {', '.join(c['namedRanges'])}" if c["namedRanges"] else ""
-    out = [seed, f"Options: depth {o['depth']} · mode {o['mode']} · budget {o['token_budget']} (used ~{p['tokens']}) · truncated: {'YES' if p['truncated'] else 'no'}", "", f"Regions ({len(p['regions'])}):"]
-    out += [summary_text(r, k) for k, r in enumerate(p["regions"], 1)]
-    for k, name in (("precedents", "Precedent"), ("dependents", "Dependent")):
-        if (p["trace"] or {}).get(k):
-            out += ["", f"{name} trace:", _pad(trace_text(p["trace"][k]), "  ")]
-    if p["relations"]:
-        out += ["", "Relations:", *(f"  {r['from']} →({r['type']} {r['weight']}) {r['to']} — {r['why']}" for r in p["relations"])]
-    if p["nextActions"]:
-        out += ["", "Next actions:", *(f"  {k}. {a}" for k, a in enumerate(p["nextActions"], 1))]
-    return "\n".join(out + (["", "Warnings:", *(f"  ! {w}" for w in p["warnings"])] if p["warnings"] else []))
+    seed = [f"value: {'(empty)' if c['value'] is None else c['value']} [{c['type']}]", *([f"formula: ={c['formula']}"] if "formula" in c else []), *([f"region: {c['regionId']}"] if "regionId" in c else [])]
+    seed += [f"names: {', '.join(c['namedRanges'])}"] if c["namedRanges"] else []
+    seed += [f"asked: depth {o['depth']}, {o['mode']}; ~{p['tokens']} of {o['token_budget']} tokens{', shortened' if p['truncated'] else ''}"]
+    trace = p["trace"] or {}
+    return _report(
+        (f"Seed {p['seed']}", seed),
+        (f"Regions ({len(p['regions'])}):", [summary_text(r, k) for k, r in enumerate(p["regions"], 1)]),
+        *((f"{name} trace:", _branches(trace[k]) if trace.get(k) else []) for k, name in (("precedents", "Precedent"), ("dependents", "Dependent"))),
+        ("Relations:", [f"{r['from']} →({r['type']} {r['weight']}) {r['to']}: {r['why']}" for r in p["relations"]]),
+        ("Next actions:", [f"{k}. {x}" for k, x in enumerate(p["nextActions"], 1)]),
+        ("Warnings:", p["warnings"]),
+    )
 
 
 def map_text(m: dict) -> str:
-    out = [f"Sheet {m['sheet']}{' (HIDDEN)' if m['hidden'] else ''}  {m['used_range'] or '(empty)'}" + (f"  — {m['purpose']}" if m["purpose"] else "")]
+    rows = []
     for r in m["regions"] or ():
-        bits = [f"{r['rows']}×{r['cols']}", r["purpose"] or r["kind"], f"{r['sections']} sections" if r["sections"] else "", "has notes" if r["has_notes"] else "", f"conf {r['confidence']}"]
-        out.append(f"  [{r['region_id']}] {r['kind']:<8} {r['range_a1']:<24} {' · '.join(b for b in bits if b)}" + (f"  “{r['title']}”" if r["title"] else ""))
-        out += [f"      headers: {', '.join(r['headers'])}"] if r["headers"] else []
-    return "\n".join(out + (["  notes:", *(f"    - {n}" for n in m["notes"][:6])] if m["notes"] else []))
+        told = [r["purpose"] or r["kind"], f"{r['sections']} sections" if r["sections"] else "", "has notes" if r["has_notes"] else "", f"confidence {r['confidence']}", _titled(r), f"headers {', '.join(r['headers'])}" if r["headers"] else ""]
+        rows.append((f"[{r['region_id']}]", r["range_a1"], r["kind"], f"{r['rows']}×{r['cols']}", ", ".join(t for t in told if t)))
+    head = f"Sheet {m['sheet']}" + (" (HIDDEN)" if m["hidden"] else "") + f", {m['used_range'] or 'empty'}" + (f": {m['purpose']}" if m["purpose"] else "")
+    return _report((head, rows or None), ("Notes:", _shorter(m["notes"] or [], 6, " notes")))
 
 
 def hits_text(hits: list[dict], books: bool) -> str:
-    out = []
-    for h in hits:
-        where = f"[{h['book']}]{h['range_a1']}" if books else h["range_a1"]
-        out.append(f"{h['rank']}. ({h['score']}) [{h['region_id']}] {h['kind']} {where}{' (HIDDEN sheet)' if h['hidden_sheet'] else ''}" + (f" — {h['purpose']}" if h["purpose"] else "") + f"\n   {h['why']}")
-    return "\n".join(out) or "no matching regions"
+    rows = [(f"{h['rank']}.", h["score"], f"[{h['region_id']}]", h["kind"], _in(h["book"] if books else None, h["range_a1"]) + (" (hidden sheet)" if h["hidden_sheet"] else ""), f"{h['purpose'] or ''} ({h['why']})".strip()) for h in hits]
+    return "\n".join(_lines(rows, "")) or "no matching regions"
 
 
 def extract_text(t: dict) -> str:
-    where = f"[{t['workbook']}]{t['rangeA1']}" if "workbook" in t else t["rangeA1"]
-    out = [f"Extract [{t['regionId']}] {where} — rows {t['offset'] + 1}–{t['offset'] + t['returned']} of {t['totalDataRows']}{' (complete)' if t['complete'] else ''} · ~{t['tokens']} tokens"]
-    out.append("columns: " + " | ".join(c["name"] + (f" <{c['role']}>" if "role" in c else "") for c in t["columns"]))
-    if t.get("excludedSubtotalRows"):
-        out.append(f"excluded subtotal rows: {', '.join(map(str, t['excludedSubtotalRows']))}")
-    for row, source in list(zip(t["rows"], t["rowProvenance"]))[:12]:
-        out.append(f"  {source:<22} {' | '.join('' if row[c['name']] is None else str(row[c['name']]) for c in t['columns'])}")
-    if len(t["rows"]) > 12:
-        out.append(f"  … {len(t['rows']) - 12} more rows")
-    if t.get("sections"):
-        out.append("sections: " + " · ".join(f"{s['label'] or '(unlabelled)'} rows {s['rows'][0]}–{s['rows'][1]}" for s in t["sections"]))
-    return "\n".join(out + [f"! {w}" for w in t["warnings"]])
+    names = [c["name"] for c in t["columns"]]
+    rows = [(source, " | ".join("" if row[n] is None else str(row[n]) for n in names)) for row, source in zip(t["rows"], t["rowProvenance"])]
+    sections = [f"{s['label'] or '(unlabelled)'}: rows {s['rows'][0]}–{s['rows'][1]}" for s in t.get("sections") or ()]
+    return _report(
+        (f"[{t['regionId']}] {_in(t.get('workbook'), t['rangeA1'])}, rows {t['offset'] + 1}–{t['offset'] + t['returned']} of {t['totalDataRows']}{', complete' if t['complete'] else ''}, ~{t['tokens']} tokens", None),
+        ("columns: " + " | ".join(c["name"] + (f" ({c['role']})" if "role" in c else "") for c in t["columns"]), _shorter(rows, 12, " rows") or None),
+        ("left out as subtotals: " + ", ".join(map(str, t["excludedSubtotalRows"])) if t.get("excludedSubtotalRows") else "", None),
+        ("Sections:", sections),
+        ("Warnings:", t["warnings"]),
+    )
 
 
 def links_text(o: dict) -> str:
-    out = [f"Cross-workbook formula links ({len(o['formulaLinks'])}):"] + (["  (none)"] if not o["formulaLinks"] else [])
+    links = []
     for g in o["formulaLinks"]:
-        out += [f"  {g['from_book']} → {g['to_book'] or g['external'] + '  ⚠ NOT LOADED'}   {g['ref_count']} ref(s)", f"      from: {', '.join(g['cells'])}"] + ([f"      into: {', '.join(g['targets'])}"] if g["targets"] else [])
-    if o["sharedNames"]:
-        out.append(f"Shared defined names ({len(o['sharedNames'])}):")
-        out += [f"  {n['name']}: {' · '.join(u['book'] + ' (' + ', '.join(u['ranges']) + ')' for u in n['uses'])}" for n in o["sharedNames"]]
-    if o["dataLinks"]:
-        out.append(f"Data links — regions sharing key values ({len(o['dataLinks'])}):")
-        out += [f"  [{d['a_book']}]{d['a_range_a1']} ({d['a_column']}) ⋈ [{d['b_book']}]{d['b_range_a1']} ({d['b_column']}) — {d['shared']} shared, e.g. {', '.join(d['sample'])}" for d in o["dataLinks"][:10]]
-    if o["unresolved"]:
-        out.append("Unresolved external workbooks:")
-        out += [f"  ! \"{u['external']}\" — {u['ref_count']} ref(s) from {', '.join(u['from_books'])} (e.g. {', '.join(u['cells'])})" for u in o["unresolved"]]
-    return "\n".join(out)
+        links.append(f"{g['from_book']} → {g['to_book'] or g['external'] + ' (NOT LOADED)'}: {g['ref_count']} reference(s) from {', '.join(g['cells'])}" + (f" into {', '.join(g['targets'])}" if g["targets"] else ""))
+    data = [f"{_in(d['a_book'], d['a_range_a1'])} ({d['a_column']}) ⋈ {_in(d['b_book'], d['b_range_a1'])} ({d['b_column']}): {d['shared']} shared, e.g. {', '.join(d['sample'])}" for d in o["dataLinks"]]
+    return _report(
+        (f"Formula links ({len(o['formulaLinks'])}):", links or ["(none)"]),
+        (f"Shared defined names ({len(o['sharedNames'])}):", [f"{n['name']}: " + "; ".join(f"{u['book']} {', '.join(u['ranges'])}" for u in n["uses"]) for n in o["sharedNames"]]),
+        (f"Regions with key values in common ({len(o['dataLinks'])}):", _shorter(data, 10, " links")),
+        ("External workbooks that are not loaded:", [f"{u['external']}: {u['ref_count']} reference(s) from {', '.join(u['from_books'])}, e.g. {', '.join(u['cells'])}" for u in o["unresolved"]]),
+    )
 
 
 def collection_text(o: dict) -> str:
-    out = [f"Workbooks ({len(o['workbooks'])}):"]
-    for w in o["workbooks"]:
-        hidden = f" ({w['hidden_sheets']} hidden)" if w["hidden_sheets"] else ""
-        out.append(f"  {w['book']:<22} {w['sheets']} sheet{'' if w['sheets'] == 1 else 's'}{hidden}  {w['cells']:>6} cells  {w['formula_cells']:>4} formulas  {w['regions']} region{'' if w['regions'] == 1 else 's'}")
-    return "\n".join([*out, links_text(o), *_warned(o["warnings"])])
+    rows = [("book", "sheets", "hidden", "cells", "formulas", "regions")] + [tuple(w[k] for k in ("book", "sheets", "hidden_sheets", "cells", "formula_cells", "regions")) for w in o["workbooks"]]
+    return "\n".join(x for x in (_report((f"Workbooks ({len(o['workbooks'])}):", rows)), links_text(o), _report(("Warnings:", _shorter(o["warnings"], 8, " warnings")))) if x)
 
 
 def linked(ws: Workspace) -> dict:
