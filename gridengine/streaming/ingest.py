@@ -1,8 +1,9 @@
 """Workbooks as they arrive: a file stream that keeps the cell table of each book at its latest file.
 
 Each micro-batch parses its new files; the partition of a book that comes again is replaced as a whole, so a batch that is
-run twice leaves the same table. A file stream reads a path once: a book's next version comes under another path of the
-folder (``2026-02/plan.xlsx``) with the same file name.
+run twice leaves the same table. Which file a book's rows are from is kept beside them (``_versions``), so that an older file that arrives late
+changes nothing; the rows of a book whose latest file has none are removed. A file stream reads a path once: a book's next version comes under
+another path of the folder (``2026-02/plan.xlsx``) with the same file name.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..plans.tables import written
 from ..sources.xlsx import TABLES, _batch, workbook_tables
 
 
@@ -40,9 +42,24 @@ def ingest(spark: SparkSession, folder: str, target: str, checkpoint: str, table
     """Keeps the parquet table ``target``, partitioned by book, up to date with the folder."""
 
     def upsert(files: DataFrame, _: int) -> None:
-        latest = files.groupBy(F.element_at(F.split("path", "/"), -1).alias("name")).agg(F.max_by(F.struct("path", "content"), F.struct("modificationTime", "path")).alias("f"))
-        rows = parsed(latest.select("f.path", "f.content"), table)
+        spark, jvm = files.sparkSession, files.sparkSession.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+        there = path(f"{target}/_versions").getFileSystem(conf).exists(path(f"{target}/_versions"))
+        of = F.struct("modificationTime", "path")
+        latest = files.groupBy(F.element_at(F.split("path", "/"), -1).alias("name")).agg(F.max_by(F.struct("path", "content"), of).alias("f"), F.max(of).alias("version"))
+        if there:
+            known = spark.read.parquet(f"{target}/_versions").groupBy("name").agg(F.max("version").alias("known"))
+            latest = latest.join(known, "name", "left").where("known is null or version >= known")
+        rows = written(parsed(latest.select("f.path", "f.content"), table), "ingest")
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("book").parquet(target)
+        versions = latest.select("name", "version").collect()  # at most the files of a batch
+        full = {r.book for r in rows.select("book").distinct().collect()}
+        for name in {unquote(v["name"]) for v in versions} - full:
+            own = path(f"{target}/book={jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(name)}")
+            own.getFileSystem(conf).delete(own, True)
+        if versions:
+            spark.createDataFrame(versions, latest.select("name", "version").schema).write.mode("append").parquet(f"{target}/_versions")
 
     stream = file_stream(spark, folder).writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
     return stream.trigger(**(trigger or {"availableNow": True})).start()

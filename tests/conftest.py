@@ -3,7 +3,7 @@ from pyspark.sql import SparkSession
 
 from gridengine.plans.workspace import Workspace
 
-from .support import xlsx as made
+from gridengine.sources import workbooks as made
 
 
 @pytest.fixture(scope="session")

@@ -7,7 +7,7 @@ from gridengine import cli
 from gridengine.plans.workspace import Workspace
 from gridengine.streaming import ingest
 
-from .support import xlsx as made
+from gridengine.sources import workbooks as made
 
 
 @pytest.fixture(autouse=True)
@@ -68,6 +68,19 @@ def test_stream_keeps_the_latest_file(spark, sample_file, tmp_path):
     ingest.ingest(spark, str(folder), target, state).awaitTermination(120)
     got = {r.book: r["count"] for r in spark.read.parquet(target).groupBy("book").count().collect()}
     assert got == {"a.xlsx": 1, "b.xlsx": 2}
+    # An older file that arrives late changes nothing; a latest one without cells leaves none.
+    import os
+
+    made.write(tmp_path / "empty.xlsx", [made.Sheet("S")])
+    for name, source, age in (("old", sample_file, 10**9), ("last", tmp_path / "empty.xlsx", None)):
+        (folder / name).mkdir()
+        book = "a.xlsx" if name == "old" else "b.xlsx"
+        shutil.copy(source, folder / name / book)
+        if age:
+            os.utime(folder / name / book, (age, age))
+    ingest.ingest(spark, str(folder), target, state).awaitTermination(120)
+    got = {r.book: r["count"] for r in spark.read.parquet(target).groupBy("book").count().collect()}
+    assert got == {"a.xlsx": 1}
 
 
 def test_windowed_counts(spark, sf):

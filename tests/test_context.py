@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from gridengine.operators import collection, diffuse
 from gridengine.plans.workspace import Workspace
 
-from .support import xlsx as made
+from gridengine.sources import workbooks as made
 
 
 def test_packet(sample):

@@ -5,7 +5,7 @@ from gridengine.functions.address import parse_cell
 from gridengine.operators import graph, search
 from gridengine.plans.workspace import Workspace
 
-from .support import xlsx as made
+from gridengine.sources import workbooks as made
 
 
 def points(ws, *addresses, book=None):

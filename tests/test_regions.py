@@ -8,7 +8,7 @@ from gridengine.operators.rangejoin import containing, overlapping
 from gridengine.plans.workspace import Workspace
 from gridengine.sources.lift import lift
 
-from .support import xlsx as made
+from gridengine.sources import workbooks as made
 
 
 def flood(cells):

@@ -6,7 +6,7 @@ from gridengine.sources import xlsx
 from gridengine.sources.lift import lift, sheets_of
 from gridengine.sources.schema import value_json, value_text
 
-from .support import xlsx as made
+from gridengine.sources import workbooks as made
 
 
 @pytest.fixture(scope="module")
