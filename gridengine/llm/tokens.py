@@ -2,7 +2,8 @@
 
 A document's pre-tokens stand in a segment tree of token counts. An edit is encoded from a boundary before it until the new
 pre-tokens fall on old boundaries again; only those leaves are replaced, and the sums above them updated. Counts
-are exactly those of encoding the edited text anew.
+are exactly those of encoding the edited text anew. Trees are kept in a table beside their texts (``token_trees``); edits
+start from it and leave the next one (``edited_trees``), so a text is encoded whole only once.
 """
 
 from __future__ import annotations
@@ -12,12 +13,13 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, text_table
+from .common import mapped, stored, text_table
 
 #: Ranks of the vocabulary; the path of any other file of the kind may be given.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -26,6 +28,13 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _pre = regex.compile(PATTERN)
 #: Pre-tokens whose counts a worker remembers.
 REMEMBERED = 200_000
+#: Leaves of the trees in an output batch, beyond a document's own.
+BATCH_LEAVES = 500_000
+#: A kept tree: the leaves of each block, code points and tokens of each leaf, and both sums of each node over the blocks.
+TREE = {"widths": "int", "lengths": "int", "counts": "int", "chars": "long", "tokens": "long"}
+_TREE_SQL = "struct<" + ", ".join(f"{k}: array<{t}>" for k, t in TREE.items()) + ">"
+_TREE_ARROW = pa.struct([(k, pa.list_(pa.int32() if t == "int" else pa.int64())) for k, t in TREE.items()])
+COUNTS = ["tokens_before", "tokens_after", "n_edits", "chars_after", "chars_encoded"]
 
 
 @lru_cache(2)
@@ -76,6 +85,23 @@ class Tree:
             chars[k], toks[k] = chars[2 * k] + chars[2 * k + 1], toks[2 * k] + toks[2 * k + 1]
         self.chars, self.tokens = chars, toks
 
+    def kept(self) -> dict[str, np.ndarray]:
+        """The tree as arrays, see ``TREE``."""
+        flat = lambda k: [x for b in self.blocks for x in b[k]]
+        parts = {"widths": [len(b[0]) for b in self.blocks], "lengths": flat(0), "counts": flat(1), "chars": self.chars, "tokens": self.tokens}
+        return {k: np.array(x, np.int32 if TREE[k] == "int" else np.int64) for k, x in parts.items()}
+
+    @classmethod
+    def of(cls, kept: dict[str, np.ndarray]) -> Tree:
+        """The tree that was kept; no sum is made again."""
+        tree = cls.__new__(cls)
+        lengths, counts = kept["lengths"].tolist(), kept["counts"].tolist()
+        ends = np.cumsum(kept["widths"]).tolist()
+        tree.blocks = [[lengths[a:b], counts[a:b]] for a, b in zip([0, *ends], ends)]
+        tree.chars, tree.tokens = kept["chars"].tolist(), kept["tokens"].tolist()
+        tree.size = len(tree.chars) // 2
+        return tree
+
     @property
     def total(self) -> int:
         return self.tokens[1]
@@ -142,10 +168,12 @@ class Tree:
 class Document:
     """A text whose token count follows its edits."""
 
-    def __init__(self, text: str, counter: Counter):
+    def __init__(self, text: str, counter: Counter, tree: Tree | None = None):
         self.text, self.counter = text, counter
-        pieces = _pre.findall(text)
-        self.tree = Tree(list(map(len, pieces)), counter(pieces))
+        if tree is None:
+            pieces = _pre.findall(text)
+            tree = Tree(list(map(len, pieces)), counter(pieces))
+        self.tree = tree
         self.encoded = 0  # code points encoded since
 
     @property
@@ -182,42 +210,111 @@ class Document:
         tree.replace((block, leaf), here[:2], lengths, self.counter(pieces))
 
 
-def edited_counts(docs: DataFrame, edits: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """(id, tokens_before, tokens_after, n_edits, chars_after, chars_encoded) of every row of ``docs``.
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The rows of an array column, none of them null."""
+    at, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return [values[a:b] for a, b in zip(at, at[1:])]
+
+
+def _trees(column: pa.StructArray) -> Iterator[Tree]:
+    fields = [_lists(column.field(k)) for k in TREE]
+    for arrays in zip(*fields):
+        yield Tree.of(dict(zip(TREE, arrays)))
+
+
+def _kept_batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Batches (id, text, tree, counts ...) of bounded leaves."""
+
+    def batch() -> pa.RecordBatch:
+        ids, texts, trees, counts = zip(*held)
+        parts = [pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(trees, _TREE_ARROW)]
+        parts += [pa.array(x, pa.int64()) for x in zip(*counts)]
+        return pa.RecordBatch.from_arrays(parts, ["id", "text", "tree", *COUNTS[: len(parts) - 3]])
+
+    held, leaves = [], 0
+    for row in rows:
+        held.append(row)
+        leaves += len(row[2]["lengths"])
+        if leaves >= BATCH_LEAVES:
+            yield batch()
+            held, leaves = [], 0
+    if held:
+        yield batch()
+
+
+def token_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
+    """(id, text, tree) of every row of ``docs``: the state that edits start from, to be written as a table.
+
+    Null texts are empty and have a tree without leaves. Null ids and repeated rows are rows like any other.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter(tokenizer)
+        rows = (row for b in batches for row in zip(b.column("id").to_pylist(), b.column("text").to_pylist()))
+        yield from _kept_batches((i, text or "", Document(text or "", counter).tree.kept(), ()) for i, text in rows)
+
+    return mapped(text_table(docs, id_col, text_col), run, f"id long, text string, tree {_TREE_SQL}")
+
+
+def with_edits(trees: DataFrame, edits: DataFrame) -> DataFrame:
+    """``trees`` with ``edits``, the array of a document's edits (seq, start, end, text) in order; null for none.
 
     ``edits``: (id, seq, start, end, text), applied by seq, each to the text that those before it left; code points,
     end exclusive. Edits of an id that no document has are ignored; documents with the same id all get its edits.
-    Null texts are empty; a null start is 0, a null end is the start, a null replacement is empty. Rows with a null id have no edits.
+    A null start is 0, a null end is the start, a null replacement is empty. Rows with a null id have no edits.
     """
-    rows = text_table(docs, id_col, text_col)
     each = edits.select("id", F.struct("seq", F.coalesce("start", F.lit(0)).cast("long").alias("start"), F.coalesce("end", "start", F.lit(0)).cast("long").alias("end"), F.coalesce("text", F.lit("")).alias("text")).alias("e"))
     lists = each.groupBy("id").agg(F.sort_array(F.collect_list("e")).alias("edits"))  # one document's edits, as long as its own history
-    return count_edits(rows.join(lists, "id", "left").select("id", "text", "edits"), tokenizer)
+    return trees.select("id", "text", "tree").join(lists, "id", "left")
+
+
+def _followed(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[tuple[int | None, Document, tuple[int, ...]]]:
+    counter = Counter(tokenizer)
+    for b in batches:
+        for i, text, tree, edits in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), _trees(b.column("tree")), b.column("edits").to_pylist()):
+            d = Document(text, counter, tree)
+            before = d.tokens
+            for e in edits or ():
+                d.edit(e["start"], e["end"], e["text"])
+            yield i, d, (before, d.tokens, len(edits or ()), len(d.text), d.encoded)
+
+
+def edited_trees(rows: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """(id, text, tree) after the edits of ``with_edits``, from which later edits start, and the columns of ``count_edits``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _kept_batches((i, d.text, d.tree.kept(), counts) for i, d, counts in _followed(batches, tokenizer))
+
+    return mapped(rows.select("id", "text", "tree", "edits"), run, f"id long, text string, tree {_TREE_SQL}, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def count_edits(rows: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """As ``edited_counts``, from rows (id, text, edits array of (seq, start, end, text))."""
+    """(id, tokens_before, tokens_after, n_edits, chars_after, chars_encoded) of every row of ``with_edits``.
+
+    Only what edits touch is encoded: ``chars_encoded`` code points.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(tokenizer)
-        for b in batches:
-            out = []
-            for i, text, edits in zip(*(b.column(c).to_pylist() for c in ("id", "text", "edits"))):
-                d = Document(text or "", counter)
-                before = d.tokens
-                for e in edits or ():
-                    d.edit(e["start"], e["end"], e["text"])
-                out.append((i, before, d.tokens, len(edits or ()), len(d.text), d.encoded))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)] if out else [pa.array([], pa.int64())] * 6, ["id", "tokens_before", "tokens_after", "n_edits", "chars_after", "chars_encoded"])
+        rows, more = _followed(batches, tokenizer), True
+        while more:
+            part = [(i, *counts) for _, (i, _, counts) in zip(range(10_000), rows)]
+            more = len(part) == 10_000
+            if part:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*part)], ["id", *COUNTS])
+
+    return mapped(rows.select("id", "text", "tree", "edits"), run, "id long, " + ", ".join(f"{c} long" for c in COUNTS))
+
 
-    return mapped(rows, run, "id long, tokens_before long, tokens_after long, n_edits long, chars_after long, chars_encoded long")
+def edited_counts(docs: DataFrame, edits: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
+    """As ``count_edits``, from documents without kept trees. Nulls, repeated rows and edits as in ``token_trees`` and ``with_edits``."""
+    return count_edits(with_edits(token_trees(docs, id_col, text_col, tokenizer), edits), tokenizer)
 
 
 def op8_edit_counts(spark, sf_dir: str) -> DataFrame:
-    """Every document, with three edits: an insertion a quarter in, a deletion at the half, a replacement three quarters in."""
-    docs = text_table(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
-    n = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    """Every document, with three edits to its kept tree: an insertion a quarter in, a deletion at the half, a replacement three quarters in."""
+    trees = stored(token_trees(spark.read.parquet(f"{sf_dir}/documents.parquet")), "token-trees")
+    n = F.length("text").cast("long")
     part = lambda k: (n * k / 4).cast("long")
     edit = lambda seq, a, b, new: F.struct(F.lit(seq).alias("seq"), a.alias("start"), b.alias("end"), F.lit(new).alias("text"))
     edits = F.array(edit(0, part(1), part(1), " [inserted 42] "), edit(1, part(2), part(2) + 25, ""), edit(2, part(3), part(3) + 10, "l'été\n\n  it's"))
-    return count_edits(docs.select("id", "text", edits.alias("edits"))).withColumnRenamed("id", "doc_id")
+    return count_edits(trees.withColumn("edits", edits)).withColumnRenamed("id", "doc_id")

@@ -36,6 +36,40 @@ def test_only_the_edited_region_is_encoded():
     assert d.encoded < 100 and d.tokens == whole(text[:80_000] + "new words" + text[80_010:])
 
 
+@settings(max_examples=300, deadline=None)
+@given(alphabet, st.lists(st.tuples(st.integers(0, 45), st.integers(0, 12), alphabet), max_size=4), st.integers(1, 3))
+def test_kept_trees_are_the_same_trees(text, edits, width):
+    old, T.Tree.WIDTH = T.Tree.WIDTH, width
+    try:
+        d = T.Document(text, counter)
+        for start, n, new in edits:
+            d.tree = T.Tree.of(d.tree.kept())
+            d.edit(start, start + n, new)
+            assert d.tokens == whole(d.text) and d.tree.length == len(d.text)
+        again = T.Tree.of(d.tree.kept())
+        assert (again.blocks, again.chars, again.tokens, again.size) == (d.tree.blocks, d.tree.chars, d.tree.tokens, d.tree.size)
+    finally:
+        T.Tree.WIDTH = old
+
+
+def test_edits_go_on_from_kept_trees(spark, tmp_path, monkeypatch):
+    long = "Some words here, and it's 2024.\n" * 30_000
+    docs = spark.createDataFrame([(1, "ab cd ef"), (1, "ab cd ef"), (2, None), (None, "x y"), (3, long)], "doc_id long, text string").withColumn("tree", F.lit(1))
+    first = [(1, 0, 0, 2, "new"), (2, 0, 0, 0, "some text"), (3, 0, 500_000, 500_010, "other")]
+    second = [(1, 0, 3, 3, "er"), (1, 1, 0, 1, ""), (3, 0, 10, 20, "x")]
+    table = lambda rows: spark.createDataFrame(rows, "id long, seq int, start int, end int, text string")
+    monkeypatch.setattr(T, "BATCH_LEAVES", 3)
+    T.token_trees(docs).write.parquet(f"{tmp_path}/0")
+    for k, edits in enumerate((first, second)):
+        T.edited_trees(T.with_edits(spark.read.parquet(f"{tmp_path}/{k}"), table(edits))).write.parquet(f"{tmp_path}/{k + 1}")
+    got = sorted((str(r.id), r.text, r.tokens_after, r.chars_encoded) for r in spark.read.parquet(f"{tmp_path}/2").collect())
+    changed = long[:500_000] + "other" + long[500_010:]
+    changed = changed[:10] + "x" + changed[20:]
+    assert [r[:3] for r in got] == [(i, t, whole(t)) for i, t in (("1", "ewer cd ef"), ("1", "ewer cd ef"), ("2", "some text"), ("3", changed), ("None", "x y"))]
+    assert got[3][3] < 100 and got[4][3] == 0
+    assert T.token_trees(docs.limit(0)).count() == 0
+
+
 def test_edited_counts_on_tables(spark, sf):
     got = {r.doc_id: r for r in T.op8_edit_counts(spark, sf).collect()}
     for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
