@@ -70,7 +70,7 @@ def with_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = rows.groupBy("key", "class", "salt").agg(F.count("*").alias("rows")).withColumn("before", F.coalesce(before, F.lit(0)))
     parts = stored(parts.join(aims, "key"), "mix-parts")
     place = F.col("before") + F.row_number().over(Window.partitionBy("key", "class", "salt").orderBy("size", F.col("id").asc_nulls_last()))
-    placed = rows.join(parts, ["key", "class", "salt"]).withColumn("place", place)
+    placed = rows.join(parts.hint("merge"), ["key", "class", "salt"]).withColumn("place", place)  # on the shuffle that the window needs anyway
     copies = F.expr(f"shiftright(offset + place * rate, {POINT}) - shiftright(offset + (place - 1) * rate, {POINT})")
     return placed.select("id", "source", "size", "source_size", "target", copies.alias("copies"), *(["row"] if carry else []))
 
