@@ -48,7 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` written to the shared folder and read back.
 
     This cuts lineage (a lost executor costs no recomputation of what came before). After a job of some length the JVM is
@@ -57,7 +57,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark, began = df.sparkSession, time.monotonic()
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.parquet(at, compression=compression)
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)

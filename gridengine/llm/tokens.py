@@ -29,7 +29,7 @@ _pre = regex.compile(PATTERN)
 #: Pre-tokens whose counts a worker remembers.
 REMEMBERED = 200_000
 #: Leaves of the trees in an output batch, beyond a document's own.
-BATCH_LEAVES = 500_000
+BATCH_LEAVES = 100_000
 #: A kept tree: the leaves of each block, code points and tokens of each leaf, and both sums of each node over the blocks.
 TREE = {"widths": "int", "lengths": "int", "counts": "int", "chars": "long", "tokens": "long"}
 _TREE_SQL = "struct<" + ", ".join(f"{k}: array<{t}>" for k, t in TREE.items()) + ">"
@@ -312,7 +312,7 @@ def edited_counts(docs: DataFrame, edits: DataFrame, id_col: str = "doc_id", tex
 
 def op8_edit_counts(spark, sf_dir: str) -> DataFrame:
     """Every document, with three edits to its kept tree: an insertion a quarter in, a deletion at the half, a replacement three quarters in."""
-    trees = stored(token_trees(spark.read.parquet(f"{sf_dir}/documents.parquet")), "token-trees")
+    trees = stored(token_trees(spark.read.parquet(f"{sf_dir}/documents.parquet")), "token-trees", "zstd")
     n = F.length("text").cast("long")
     part = lambda k: (n * k / 4).cast("long")
     edit = lambda seq, a, b, new: F.struct(F.lit(seq).alias("seq"), a.alias("start"), b.alias("end"), F.lit(new).alias("text"))
