@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.address import format_cell, format_range, range_area
 from ..functions.formula import relative_udf
-from ..plans.tables import written
+from ..plans.tables import numbered, written
 from ..sources.schema import value_json
 from .edges import EXPAND, _last_names
 from .rangejoin import containing
@@ -56,11 +56,11 @@ def reverse(ws) -> tuple[DataFrame, DataFrame]:
     return single.drop("r0", "c0", "r1", "c1"), t.where(~small)
 
 
-def dependents(ws, points: DataFrame, across: bool = False) -> DataFrame:
-    """(the point's columns, d_book, d_sheet, d_sheet_lc, d_row, d_col, rank, total) of each different reader of each point.
+def readers(ws, points: DataFrame, across: bool = False) -> DataFrame:
+    """(the point's columns, d_book, d_sheet, d_sheet_lc, d_row, d_col, first) of each different reader of each point.
 
-    ``points``: (book, sheet_lc, row, col, ...), each once. Readers by single edges come first, then by intervals, then, ``across``, those
-    in other books; each in order of sheets, cells and references.
+    ``points``: (book, sheet_lc, row, col, ...), each once. By ``first`` readers by single edges come before those by intervals, then, ``across``,
+    those in other books; each in order of sheets, cells and references.
     """
     single, large = reverse(ws)
     found = points.join(single, AT).withColumn("tier", F.lit(0)).unionByName(containing(points, large).drop("r0", "c0", "r1", "c1").withColumn("tier", F.lit(1)))
@@ -71,10 +71,25 @@ def dependents(ws, points: DataFrame, across: bool = False) -> DataFrame:
             F.col("row").alias("d_row"), F.col("col").alias("d_col"), F.struct("sheet_idx", "ord", "ref_ord", F.lit(0).alias("t_ord")).alias("place"), (F.col("book_ord") + 2).alias("tier"),
         )
         found = found.unionByName(containing(points, far).drop("r0", "c0", "r1", "c1").select(*found.columns))
-    own = points.columns
-    once = found.groupBy(*own, "d_book", "d_sheet", "d_sheet_lc", "d_row", "d_col").agg(F.min(F.struct("tier", "place")).alias("first"))
-    per = Window.partitionBy(*own)
-    return once.withColumn("rank", F.row_number().over(per.orderBy("first"))).withColumn("total", F.count("*").over(per)).drop("first")
+    return found.groupBy(*points.columns, "d_book", "d_sheet", "d_sheet_lc", "d_row", "d_col").agg(F.min(F.struct("tier", "place")).alias("first"))
+
+
+def foremost(found: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` of each point's ``readers``, with their ``rank``; each task leaves only so many of a point before the shuffle."""
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy(*AT).orderBy("first"))).where(F.col("rank") <= most)
+
+
+def dependents(ws, points: DataFrame, across: bool = False, most: int | None = None) -> DataFrame:
+    """(book, sheet_lc, row, col, d_book, d_sheet, d_sheet_lc, d_row, d_col, rank, total) of the first ``most`` readers of each point, or of all.
+
+    ``total`` counts all. All of a point's readers are ranked by ranges of their order, not in one task.
+    """
+    found = written(readers(ws, points.select(*AT), across), "readers")
+    if most is not None:
+        return foremost(found, most).drop("first").join(found.groupBy(*AT).agg(F.count("*").alias("total")), AT)
+    every = written(numbered(found, [*AT, "first"], "place"), "ranked")
+    per = every.groupBy(*AT).agg(F.min("place").alias("start"), F.count("*").alias("total"))
+    return every.join(per, AT).withColumn("rank", F.col("place") - F.col("start") + 1).drop("first", "place", "start")
 
 
 def _address(book: Column, local: Column, qualified: bool) -> Column:
@@ -111,7 +126,7 @@ def trace_dependents(ws, cells: DataFrame, depth: int = 2, across: bool = False,
     for left in range(depth, -1, -1):
         frontier = written(_with_cells(ws, frontier), "frontier")
         points = frontier.select(*AT).distinct()
-        deps = written(dependents(ws, points, across), "dependents")
+        deps = written(dependents(ws, points, across, CHILDREN), "dependents")
         counts = deps.groupBy(*AT).agg(F.max("total").alias("total"))
         here = frontier.join(counts, AT, "left").withColumn("total", F.coalesce("total", F.lit(0)))
         more = F.col("total") > (CHILDREN if left else 0)
@@ -120,8 +135,7 @@ def trace_dependents(ws, cells: DataFrame, depth: int = 2, across: bool = False,
         out.append(_nodes(here, address=address, kind=F.lit("cell"), value=F.col("value"), formula=F.col("formula"), truncated=F.when(more, F.lit(True)), note=note))
         if not left:
             break
-        few = deps.where(F.col("rank") <= CHILDREN)
-        step = frontier.join(few, AT).select(
+        step = frontier.join(deps, AT).select(
             "root", F.concat("pos", F.array((F.col("rank") - 1).cast("int"))).alias("pos"), "path", F.col("d_book").alias("book"), F.col("d_sheet").alias("sheet"), F.col("d_sheet_lc").alias("sheet_lc"), F.col("d_row").alias("row"), F.col("d_col").alias("col")
         )
         step = written(step.withColumn("cycle", F.array_contains("path", _key())), "step")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.address import col_letter, format_cell, format_range
+from ..plans.tables import written
 from ..sources.schema import value_json, value_text
 from . import graph
 from .rangejoin import containing
@@ -66,7 +67,10 @@ def names_containing(ws, points: DataFrame) -> DataFrame:
 
 
 def inspect(ws, points: DataFrame, across: bool = False) -> DataFrame:
-    """A row per point (book, sheet, sheet_lc, row, col): its cell if any, merge, region, precedents, first 20 readers, names."""
+    """A row per point (book, sheet, sheet_lc, row, col): its cell if any, merge, region, precedents, first 20 readers, names.
+
+    ``across``: and all readers in other books, as long as there are such.
+    """
     place = ["book", "sheet_lc", "row", "col"]
     values = ws.cells.withColumn("value", value_json()).select(*place, "value", "type", "formula", "bold", "italic", "num_fmt", "fill", "hyperlink", F.lit(True).alias("exists"))
     out = points.join(values, place, "left").join(ws.sheets.select("book", "sheet_lc", "hidden"), ["book", "sheet_lc"], "left")
@@ -81,15 +85,15 @@ def inspect(ws, points: DataFrame, across: bool = False) -> DataFrame:
     refs = ws.edges.join(points.select(*place), place, "left_semi").withColumn("k", F.when(F.col("kind") == "name", F.lower("name"))).join(resolved, ["book", "k"], "left")
     target = F.coalesce(F.when(F.col("r0").isNotNull(), format_range(F.col("r0"), F.col("c0"), F.col("r1"), F.col("c1"), F.col("t_sheet"))), F.col("by_name"))
     refs = refs.groupBy(*place).agg(F.transform(F.array_sort(F.collect_list(F.struct("ref_ord", F.struct("raw", "kind", target.alias("target"), "external").alias("p")))), lambda x: x["p"]).alias("precedents"))
-    deps = graph.dependents(ws, points.select(*place).distinct(), across)
+    found = written(graph.readers(ws, points.select(*place).distinct(), across), "readers")
     reader = format_cell(F.col("d_row"), F.col("d_col"), F.col("d_sheet"))
     near = F.col("d_book") == F.col("book")
-    deps = deps.groupBy(*place).agg(
-        F.slice(F.transform(F.array_sort(F.collect_list(F.when(near, F.struct("rank", reader.alias("a"))))), lambda x: x["a"]), 1, 20).alias("dependents"),
-        F.count_if(near).alias("dependents_total"),
-        F.transform(F.array_sort(F.collect_list(F.when(~near, F.struct("rank", F.concat(F.lit("["), "d_book", F.lit("]"), reader).alias("a"))))), lambda x: x["a"]).alias("cross_dependents"),
-    )
-    out = out.join(refs, place, "left").join(deps, place, "left")
+    listed = lambda by, a, name: F.transform(F.array_sort(F.collect_list(F.struct(by, a.alias("a")))), lambda x: x["a"]).alias(name)
+    few = graph.foremost(found.where(near), 20).groupBy(*place).agg(listed("rank", reader, "dependents"))
+    far = found.where(~near).groupBy(*place).agg(listed("first", F.concat(F.lit("["), "d_book", F.lit("]"), reader), "cross_dependents"))
+    totals = found.where(near).groupBy(*place).agg(F.count("*").alias("dependents_total"))
+    for part in (refs, few, totals, far):
+        out = out.join(part, place, "left")
     return out.select(
         "book", format_cell(F.col("row"), F.col("col"), F.col("sheet")).alias("address"), F.coalesce("exists", F.lit(False)).alias("exists"), F.col("hidden").alias("sheet_hidden"), F.coalesce("value", F.lit("null")).alias("value"),
         F.coalesce("type", F.lit("empty")).alias("type"), "formula", "bold", "italic", "num_fmt", "fill", "hyperlink",

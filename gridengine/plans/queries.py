@@ -435,7 +435,7 @@ def q_dependents(spark, sf_dir):
     """Readers of every supplier cell, by single cells and short ranges."""
     w = _workspace(spark, sf_dir, "formulas")
     points = w.cells.where("sheet_lc = 'supplier' and row > 1").select("book", "sheet_lc", "row", "col")
-    d = graph.dependents(w, points)
+    d = graph.readers(w, points)
     return d.groupBy(A.format_cell(F.col("row"), F.col("col")).alias("cell")).agg(F.count("*").alias("readers"))
 
 
@@ -444,7 +444,7 @@ def q_dependents_range(spark, sf_dir):
     """Readers through a range that is kept as an interval; the part sheet has texts and numbers in it."""
     w = _workspace(spark, sf_dir, "formulas")
     points = w.cells.where("sheet_lc = 'part'").select("book", "sheet_lc", "row", "col")
-    d = graph.dependents(w, points).where("d_sheet_lc = 'calc'")
+    d = graph.readers(w, points).where("d_sheet_lc = 'calc'")
     return d.groupBy().agg(F.countDistinct("row", "col").alias("cells"), F.count("*").alias("pairs"))
 
 
