@@ -15,8 +15,10 @@ MAX_WARNINGS = 200
 
 
 def scans(cells: DataFrame) -> DataFrame:
-    """(sheet, formula, x): each different formula of a sheet name, scanned once."""
-    return cells.where("formula is not null").select("sheet", "formula").distinct().withColumn("x", scan_udf("formula", "sheet"))
+    """(sheet, formula, x): each different formula of a sheet name, scanned once; dealt anew, as few bytes of formulas are much work."""
+    different = cells.where("formula is not null").select("sheet", "formula").distinct()
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return different.repartition(parts).withColumn("x", scan_udf("formula", "sheet"))
 
 
 def edges(cells: DataFrame, scanned: DataFrame | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,20 +33,30 @@ def wanted(names: list[str], columns: list[str] | None) -> list[bool]:
 
 @dataclass
 class Extracted:
-    """Lazy ``rows`` (row, the columns, provenance) in sheet order, and what an answer says about them."""
+    """Lazy ``rows`` (row, the columns, provenance) in sheet order, and what an answer says about them, computed when asked for."""
 
     region: object
     rows: DataFrame
     cells: DataFrame
     columns: list[dict]
-    total_data_rows: int
     offset: int
     sections: list[dict] | None
-    excluded_subtotal_rows: list[int] | None
-    subtotals: list[dict] | None
+    left_out: DataFrame | None
     warnings: list[str] = field(default_factory=list)
     book: str | None = None
 
+    @cached_property
+    def total_data_rows(self) -> int:
+        return self.cells.select("row").distinct().count()
+
+    @cached_property
+    def excluded_subtotal_rows(self) -> list[int] | None:
+        return None if self.left_out is None else self.region["subtotal_rows"]
+
+    @cached_property
+    def subtotals(self) -> list[dict] | None:
+        return None if self.left_out is None else _echo(self.left_out, self.region, column_names(self.region["columns"]))
+
     def packed(self) -> dict:
         """All of it as JSON values, each cell's own; for what fits the driver, as pages do."""
         page = self.rows.select("row", "provenance")
@@ -88,7 +99,7 @@ def extract(ws, region, offset: int = 0, limit: int | None = None, columns: list
     column is null unless the column is mixed. Paging is over the surviving rows in sheet order.
     """
     names, warnings = column_names(region["columns"]), []
-    subtotal = list(region["subtotal_rows"] or [])
+    subtotal = bool(region["subtotal_rows"])
     if include_subtotals and subtotal:
         warnings.append("subtotal rows are INCLUDED — beware of double counting")
     if region["header_row"] is None:
@@ -96,22 +107,20 @@ def extract(ws, region, offset: int = 0, limit: int | None = None, columns: list
     keep = wanted(names, columns)
     if columns is not None and not any(keep):
         warnings.append(f"no columns matched filter [{', '.join(columns)}]")
-    cells = data_cells(ws, region)
-    data = cells if include_subtotals or not subtotal else cells.where(~F.col("row").isin(subtotal))
+    data, left_out = data_cells(ws, region), None
+    if subtotal and not include_subtotals:
+        closing = ws.regions.where((F.col("book") == region["book"]) & (F.col("region_id") == region["region_id"])).select(F.explode("subtotal_rows").alias("row"))
+        data, left_out = data.join(closing, "row", "left_anti"), data.join(closing, "row", "left_semi")
     mixed = _typed_as_mixed(data, region)
     kinds = [c.asDict(True) | {"type": "mixed"} if c["col"] in mixed else c for c in region["columns"]]
     rows = _pivoted(data, kinds, names, keep, False)
-    total = data.select("row").distinct().count()
     page = rows.orderBy("row").offset(max(0, offset))
     page = page if limit is None else page.limit(limit)
     span = F.concat(F.lit(f"{region['sheet']}!{letters(region['c0'])}"), F.col("row").cast("string"), F.lit(f":{letters(region['c1'])}"), F.col("row").cast("string"))
     span = F.concat(F.lit(f"[{region['book']}]"), span) if qualified else span
     meta = [{"name": n, "letter": c["letter"]} | ({"role": c["role"]} if c["role"] else {}) | {"type": c["type"]} for c, n, k in zip(region["columns"], names, keep) if k]
     groups = [{"label": s["label"], "rows": [s["start_row"], s["end_row"]]} for s in region["sections"] if s["kind"] == "group"] if region["sections"] else None
-    echo = None
-    if subtotal and not include_subtotals:
-        echo = _echo(cells.where(F.col("row").isin(subtotal)), region, names)
-    return Extracted(region, page.withColumn("provenance", span), data, meta, total, max(0, offset), groups, None if include_subtotals else region["subtotal_rows"], echo, warnings, region["book"] if qualified else None)
+    return Extracted(region, page.withColumn("provenance", span), data, meta, max(0, offset), groups, left_out, warnings, region["book"] if qualified else None)
 
 
 def _typed_as_mixed(data: DataFrame, region) -> set[int]:

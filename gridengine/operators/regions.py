@@ -247,7 +247,7 @@ def detect(cells: DataFrame, sheets: DataFrame, merges: DataFrame, edges: DataFr
     seen = components.seen_cells(cells, merges)
     found = components.boxes(components.rectangles(seen)).join(sheets.select("book", "sheet_lc", "sheet", "hidden"), ["book", "sheet_lc"])
     found = written(found, "boxes")
-    inside = in_boxes(seen, found.select(*BOX, "top", "bottom", "left", "right", "comp_bottom"))
+    inside = written(in_boxes(seen, found.select(*BOX, "top", "bottom", "left", "right", "comp_bottom")).drop("ord"), "inside")
     rows = written(_rows(inside, _sum_rows(inside, edges)), "box-rows")
     headed = written(_headed(found, rows, merges), "headed")
     subtotals = written(_subtotals(headed, rows), "subtotals")

@@ -16,6 +16,7 @@ from ..functions.formula import relative_udf, scan_udf, shifted_udf
 from ..operators import cashflow, collection, extract, graph, locate, rangejoin, region_edges, search, summarise
 from ..sources.lift import lift, placed, sheets_of
 from ..sources.schema import NAMES, value_text
+from .tables import written
 from .workspace import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +97,7 @@ def _formulas(spark: SparkSession, sf_dir: str) -> Workspace:
         [("lifted", "Balances", "balances", 0, 0, "supplier!D2:D9", "supplier", 2, 4, 9, 4, None, None), ("lifted", "Keys", "keys", 1, 0, "supplier!A:A", "supplier", 1, 1, A.MAX_ROWS, 1, "columns", None), ("lifted", "Prices", "prices", 2, 0, "part!F2:F40", "part", 2, 6, 40, 6, None, None)],
         NAMES,
     )
+    cells = written(cells, "cells")
     return Workspace(spark, cells, sheets_of(cells), names)
 
 
@@ -217,7 +219,8 @@ def q_tokens(spark, sf_dir):
 def _order_formulas(spark, sf_dir) -> DataFrame:
     r = (F.col("o_orderkey") + 1).cast("string")
     f = F.concat(F.lit("SUM(D"), r, F.lit(":F"), r, F.lit(')*Rates!$B$2&"A1"+LOG10(C'), r, F.lit(")-'[b.xlsx]My S'!A1+Tax"))
-    return _table(spark, sf_dir, "orders").select("o_orderkey", f.alias("f"))
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # keys are few bytes, scanning is much work
+    return orders.select("o_orderkey", f.alias("f"))
 
 
 _REFS = """

@@ -49,7 +49,7 @@ class Workspace:
         whole = cells[0]
         for c in cells[1:]:
             whole = whole.unionByName(c)
-        return cls(spark, whole)
+        return cls(spark, written(whole, "cells"))
 
     def union(self, other: Workspace) -> Workspace:
         """Both sets of books as one, this one's first; names of books must differ, whatever their case."""
