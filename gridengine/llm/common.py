@@ -6,6 +6,7 @@ Words are maximal runs of ``[^\\x20\\x09-\\x0D]``; those separators are exactly
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -89,8 +90,16 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 
 
 def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df`` through ``f``. Python workers outlive their tasks, several to an executor, so each task ends by giving back what it freed."""
     session(df.sparkSession)
-    return df.mapInArrow(f, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return df.mapInArrow(run, schema)
 
 
 def word_count(text: Column) -> Column:
