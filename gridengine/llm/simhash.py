@@ -8,14 +8,16 @@ close pairs, never all of them. Components come from alternating star contractio
 
 A few bits of the shingles' fingerprint tell copies with few edits. For a similarity of shingles (0.8 of five words), all
 different texts meet again by a prefix filter: with shingles in one order for all texts, the rarest first, two sets that are
-alike share one of their first shingles, so no pair is missed; what meets is compared on the whole sets.
+alike share one of their first shingles, so no pair is missed. What meets is told apart by counts of shingles in ranges of their
+hashes, which bound what two sets can have in common and are a small part of them; what is left is compared on the whole sets, in
+passes, so that their copies take disk in proportion to the texts however many pairs there are.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ CHUNK = 4096
 MEET = 256
 #: Most texts under one shingle whose pairs are all listed, and rows of a chunk where there are more.
 LISTED, SET_CHUNK = 64, 512
+#: Rows of a chunk where only histograms are compared, for one of ``SET_CHUNK``. Words of 64 bits that mark texts to read again.
+WIDER, MARKS = 8, 1 << 17
 #: Shingles that are counted at a time, and most frequent ones that are broadcast; they only order the others.
 COUNTED, FREQUENT = 1 << 21, 1 << 17
 
@@ -74,6 +78,27 @@ def resemblance(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
+def histogram(sketch: np.ndarray) -> bytes:
+    """How many of the sorted hashes are in each of 2^k equal ranges, two to four on average; nothing if a count is over 255."""
+    bits = max(0, len(sketch).bit_length() - 2)
+    counts = np.bincount((sketch >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) if bits else np.array([len(sketch)])
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def folded(counts: np.ndarray, width: int) -> np.ndarray:
+    """Histograms (rows) of fewer ranges."""
+    return counts.reshape(len(counts), width, -1).sum(2, dtype=np.uint16) if counts.shape[1] > width else counts
+
+
+def possible(a: np.ndarray, b: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
+    """For rows of histograms, and the sizes of both sets together: false where the sets can't have ``similarity`` in common."""
+    if not a.shape[1] or not b.shape[1]:
+        return np.ones(max(len(a), len(b)), bool)
+    width = min(a.shape[1], b.shape[1])
+    common = np.minimum(folded(a, width), folded(b, width)).sum(1, dtype=np.int64)
+    return common >= similarity * (n - common) - 1e-6
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, own: bool = False) -> DataFrame:
     """(id long, fp long): the fingerprint's 64 bits as a signed long; ``own``, the text's XXH64, if asked for. A null text has no words."""
 
@@ -299,25 +324,27 @@ def frequent(own: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(own: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """(own, n, prefix) of the different texts of (own, text) that have words: the number of shingles, and of these, the rarest first,
-    as many as two sets of which ``similarity`` is common can't both have without sharing one: all but ``similarity`` of them, and one."""
+    """(own, n, prefix, counts) of the different texts of (own, text) that have words: the number of shingles, and of these, the rarest first,
+    as many as two sets of which ``similarity`` is common can't both have without sharing one: all but ``similarity`` of them, and one;
+    and the ``histogram`` of all."""
     given = session(own.sparkSession).sparkContext.broadcast(frequent(own, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
         known, counts = given.value
         for b in batches:
-            sizes, firsts = [], []
+            sizes, firsts, counted = [], [], []
             for t in texts(b):
                 s = sketch(t, shingle, seen)
+                counted.append(histogram(s))
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     s = s[np.argsort(np.where(known[at] == s, counts[at], 0), kind="stable")]
                 sizes.append(len(s))
                 firsts.append(s[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("own"), pa.array(sizes, pa.int32()), pa.array(firsts, pa.binary())], ["own", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column("own"), pa.array(sizes, pa.int32()), pa.array(firsts, pa.binary()), pa.array(counted, pa.binary())], ["own", "n", "prefix", "counts"])
 
-    return mapped(own, run, "own long, n int, prefix binary").where("n > 0").dropDuplicates(["own"])
+    return mapped(own, run, "own long, n int, prefix binary, counts binary").where("n > 0").dropDuplicates(["own"])
 
 
 def _listed(similarity: float):
@@ -393,33 +420,140 @@ def similar_forest(sets: list[np.ndarray], nodes: np.ndarray, comps: np.ndarray,
     return u, v
 
 
-def _crowded(similarity: float):
-    """``similar_forest`` of each run of equal (g, ci, cj) of sorted partitions; one run at a time is held."""
+def possible_forest(rows: list[tuple], similarity: float) -> tuple[list[int], list[int]]:
+    """Edges (smaller, larger node) between different components of rows (node, comp, n, at, counts) that are ``possible``, enough to
+    connect all that such pairs connect."""
+    near = _Possible(rows, similarity)
+    left = np.ones(len(rows), bool)
+    u, v, queue = [], [], []
+    while left.any() or queue:
+        if not queue:
+            start = left & (near.comp == near.comp[int(left.argmax())])
+            left &= ~start
+            queue = np.flatnonzero(start).tolist()
+        if not left.any():
+            break
+        at = queue.pop()
+        hit = near.of(at, left)
+        if len(hit):
+            u += np.minimum(near.node[hit], near.node[at]).tolist()
+            v += np.maximum(near.node[hit], near.node[at]).tolist()
+            more = left & np.isin(near.comp, near.comp[hit])
+            left &= ~more
+            queue += np.flatnonzero(more).tolist()
+    return u, v
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            u, v = similar_forest([np.frombuffer(r[2], np.uint64) for r in rows], np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), similarity)
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
+def possible_rows(rows: list[tuple], similarity: float) -> list[int]:
+    """The nodes of the rows that make a ``possible`` pair with one of another component."""
+    near = _Possible(rows, similarity)
+    some = np.zeros(len(rows), bool)
+    after = np.ones(len(rows), bool)
+    for at in range(len(rows)):
+        after[at] = False
+        hit = near.of(at, after & ~some if some[at] else after)
+        some[hit] = True
+        some[at] |= len(hit) > 0
+    return near.node[some].tolist()
+
+
+class _Possible:
+    """Rows (node, comp, n, at, counts) that have a shingle in common, histograms of one width together."""
+
+    def __init__(self, rows: list[tuple], similarity: float):
+        self.node, self.comp, self.n, self.at = (np.array([r[k] for r in rows], np.int64) for k in range(4))
+        self.similarity = similarity
+        self.width = np.array([len(r[4]) for r in rows])
+        self.place = np.zeros(len(rows), np.int64)
+        self.counts: dict[int, np.ndarray] = {}
+        for w in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == w)
+            self.place[own] = np.arange(len(own))
+            self.counts[w] = np.frombuffer(b"".join(rows[k][4] for k in own), np.uint8).reshape(len(own), w)
+
+    def of(self, at: int, among: np.ndarray) -> np.ndarray:
+        """Which of the rows ``among`` make a possible pair with row ``at``, by sizes, by what follows the common shingle if it is
+        the first one, and by histograms."""
+        n, s = self.n + self.n[at], self.similarity
+        ok = among & (self.comp != self.comp[at]) & (np.minimum(self.n, self.n[at]) >= s * np.maximum(self.n, self.n[at]) - 1e-9)
+        ok &= np.minimum(self.n - self.at, self.n[at] - self.at[at]) >= s / (1 + s) * n - 1e-6
+        ok = np.flatnonzero(ok)
+        hit = [np.zeros(0, np.int64)]
+        own = self.counts[int(self.width[at])][self.place[at]][None]
+        for w in np.unique(self.width[ok]).tolist():
+            k = ok[self.width[ok] == w]
+            hit.append(k[possible(self.counts[w][self.place[k]], own, n[k], s)])
+        return np.concatenate(hit)
+
+
+def _runs(columns: tuple[str, ...], f: Callable[[tuple, list[tuple]], pa.RecordBatch]):
+    """``f`` of the rows (``columns``) of each run of equal (g, ci, cj) of sorted partitions; one run at a time is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, rows = None, []
         for b in batches:
-            for *key, node, comp, whole in zip(*(b.column(c).to_pylist() for c in ("g", "ci", "cj", "node", "comp", "sketch"))):
-                if key != own and rows:
-                    yield out(rows)
+            for g, ci, cj, *row in zip(*(b.column(c).to_pylist() for c in ("g", "ci", "cj", *columns))):
+                if (key := (g, ci, cj)) != own and rows:
+                    yield f(own, rows)
                     rows = []
                 own = key
-                rows.append((node, comp, whole))
+                rows.append(row)
         if rows:
-            yield out(rows)
+            yield f(own, rows)
 
     return run
 
 
-def similar_links(docs: DataFrame, known: DataFrame, similarity: float, text_col: str = "text", shingle: int = 5, listed: int = LISTED, chunk: int = SET_CHUNK) -> DataFrame:
+def _dealt(rows: DataFrame, chunk: int, *columns: str) -> DataFrame:
+    """(g, ci, cj, node, ``columns``): each two chunks of at most about ``chunk`` rows of a g are a group, for rows that tell the number ``m`` of their g's."""
+    parts = F.ceil(F.col("m") / F.lit(chunk)).cast("int")
+    return (
+        rows.withColumn("c", F.pmod(F.xxhash64("node"), parts).cast("int"))
+        .select("g", "node", *columns, "c", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+        .select("g", "node", *columns, F.least("c", "other").alias("ci"), F.greatest("c", "other").alias("cj"))
+    )
+
+
+def _sketches(own: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """(own, sketch) of the texts of (own, text) that ``ids`` names. Marks of a fixed size go to the texts, which are not dealt out."""
+    found = ids.groupBy(F.expr("shiftrightunsigned(own, 47)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(own & 63 AS int)))").alias("bits")).toArrow()
+    marks = np.zeros(MARKS, np.uint64)
+    marks[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    given = session(own.sparkSession).sparkContext.broadcast(marks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, int] = {}
+        for b in batches:
+            x = b.column("own").to_numpy().view(np.uint64)
+            b = b.filter(pa.array((given.value[x >> np.uint64(47)] >> (x & np.uint64(63)) & np.uint64(1)).astype(bool)))
+            yield pa.RecordBatch.from_arrays([b.column("own"), pa.array([sketch(t, shingle, seen).tobytes() for t in texts(b)], pa.binary())], ["own", "sketch"])
+
+    return mapped(own, run, "own long, sketch binary").dropDuplicates(["own"]).join(ids, "own", "left_semi")
+
+
+def _in_passes(rows: DataFrame, key: list[str], size: str, most: int, one: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
+    """Written results of ``one`` for parts of ``rows``, by a hash of ``key``, with at most about ``most`` shingles (the sum of ``size``) each."""
+    total = rows.agg(F.expr(f"sum({size})")).first()[0] or 0
+    passes = math.ceil(total / most) if most else 0
+    return [one(rows.where(F.pmod(F.xxhash64(*key), F.lit(passes)) == k) if passes > 1 else rows) for k in range(passes if total else 0)]
+
+
+def _joined(tables: list[DataFrame], like: DataFrame) -> DataFrame:
+    for t in tables:
+        like = like.union(t)
+    return like
+
+
+def similar_links(docs: DataFrame, known: DataFrame, similarity: float, text_col: str = "text", shingle: int = 5, listed: int = LISTED, chunk: int = SET_CHUNK, most: int | None = None) -> DataFrame:
     """(u, v): pairs of texts (their ``own``) of which ``similarity`` of the shingles are common, enough to connect, with the components
-    of ``known`` (own, comp), all that are connected by such pairs. Exact but for equal 64-bit hashes."""
+    of ``known`` (own, comp), all that are connected by such pairs. Exact but for equal 64-bit hashes.
+
+    Whole sets of at most about ``most`` shingles are on disk at once, copies for pairs and groups included; by default a quarter of those of all texts.
+    """
     own = text_table(docs, text_col, text_col).select(F.xxhash64("text").alias("own"), "text")
     first = stored(prefixes(own, similarity, shingle).join(known, "own"), "simhash-prefixes")
+    if most is None:
+        most = max(1 << 20, (first.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0) // 4)
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -435,17 +569,18 @@ def similar_links(docs: DataFrame, known: DataFrame, similarity: float, text_col
     many = stored(rows.groupBy("g").agg(F.count("*").alias("m"), F.min("comp").alias("a"), F.max("comp").alias("b")).where(F.col("m") > listed), "simhash-many")
     few = rows.join(many.select("g"), "g", "left_anti").repartition("g").sortWithinPartitions("g")
     pairs = stored(mapped(few, _listed(similarity), "u long, v long").distinct(), "simhash-pairs")
-    crowd = stored(rows.join(many.where("a <> b").select("g", F.ceil(F.col("m") / F.lit(chunk)).cast("int").alias("parts")), "g").select("g", "node", "comp", "parts"), "simhash-crowd")
+    crowd = stored(rows.join(many.where("a <> b").select("g", "m"), "g").select("g", "m", "node", "comp", "n", "at"), "simhash-crowd")
+    told = lambda s: first.select(F.col("own").alias(s), F.col("n").alias(f"{s}_n"), F.col("counts").alias(f"{s}_counts"))
 
-    ids = pairs.select(F.col("u").alias("own")).union(pairs.select("v")).union(crowd.select("node")).distinct()
-
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}
+    def told_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("own"), pa.array([sketch(t, shingle, seen).tobytes() for t in texts(b)], pa.binary())], ["own", "sketch"])
+            n = b.column("u_n").to_numpy().astype(np.int64) + b.column("v_n").to_numpy()
+            sides = ([np.frombuffer(x, np.uint8)[None] for x in b.column(f"{s}_counts").to_pylist()] for s in "uv")
+            ok = pa.array([bool(possible(x, y, k, similarity)[0]) for x, y, k in zip(*sides, n)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(n)], ["u", "v", "n"]).filter(ok)
 
-    sets = stored(mapped(own.join(ids, "own", "left_semi").select("own", "text"), sketched, "own long, sketch binary").dropDuplicates(["own"]), "simhash-sketches")
-    side = lambda s: sets.select(F.col("own").alias(s), F.col("sketch").alias(f"{s}_sketch"))
+    def weighed(links: DataFrame) -> DataFrame:
+        return mapped(links.join(told("u"), "u").join(told("v"), "v"), told_apart, "u long, v long, n long")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -453,14 +588,59 @@ def similar_links(docs: DataFrame, known: DataFrame, similarity: float, text_col
             same = pa.array([resemblance(x, y) >= similarity for x, y in zip(*sides)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], ["u", "v"]).filter(same)
 
-    dealt = (
-        crowd.withColumn("c", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        .select("g", "node", "comp", "c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-        .select("g", "node", "comp", F.least("c", "other").alias("ci"), F.greatest("c", "other").alias("cj"))
-    )
-    together = dealt.join(sets.withColumnRenamed("own", "node"), "node").repartition("g", "ci", "cj").sortWithinPartitions("g", "ci", "cj")
-    found = mapped(pairs.join(side("u"), "u").join(side("v"), "v"), compared, "u long, v long")
-    return found.union(mapped(together, _crowded(similarity), "u long, v long")).distinct()
+    def verified(links: DataFrame) -> DataFrame:
+        ids = stored(links.select(F.col("u").alias("own")).union(links.select("v")).distinct(), "simhash-ids")
+        sets = stored(_sketches(own, ids, shingle), "simhash-sketches")
+        side = lambda s: sets.select(F.col("own").alias(s), F.col("sketch").alias(f"{s}_sketch"))
+        return _instead(mapped(links.select("u", "v").join(side("u"), "u").join(side("v"), "v"), compared, "u long, v long"), "simhash-found", sets, ids)
+
+    def hints(_: tuple, rows: list[tuple]) -> pa.RecordBatch:
+        u, v = possible_forest(rows, similarity)
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    def some(key: tuple, rows: list[tuple]) -> pa.RecordBatch:
+        found = possible_rows(rows, similarity)
+        return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(found), pa.int64()), pa.array(found, pa.int64())], ["g", "node"])
+
+    def forests(_: tuple, rows: list[tuple]) -> pa.RecordBatch:
+        u, v = similar_forest([np.frombuffer(r[2], np.uint64) for r in rows], np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), similarity)
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    def together(rows: DataFrame) -> DataFrame:
+        return rows.repartition("g", "ci", "cj").sortWithinPartitions("g", "ci", "cj")
+
+    def grouped(rows: DataFrame, f: Callable, schema: str) -> DataFrame:
+        """``f`` of the crowded groups, by histograms."""
+        wide = _dealt(rows, chunk * WIDER, "comp", "n", "at").join(first.select(F.col("own").alias("node"), "counts"), "node")
+        return mapped(together(wide), _runs(("node", "comp", "n", "at", "counts"), f), schema).distinct()
+
+    # A crowded group's likely links join the listed pairs; what they connect needs no more comparing, as a rule almost all.
+    links = weighed(pairs)
+    crowded = not crowd.isEmpty()
+    if crowded:
+        links = links.union(weighed(stored(grouped(crowd, hints, "u long, v long"), "simhash-hints"))).distinct()
+    links = _instead(links, "simhash-possible", pairs)
+    found = _in_passes(links, ["u", "v"], "2 * n", most, verified)
+    none = docs.sparkSession.createDataFrame([], "u long, v long")
+    if not crowded:
+        discard(first)
+        return _joined(found, none).distinct()
+    comp = lambda s, c: known.select(F.col("own").alias(s), F.col("comp").alias(c))
+    edges = _joined(found, none).join(comp("u", "a"), "u").join(comp("v", "b"), "v").where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    merged = components(edges).select(F.col("node").alias("comp"), F.col("component").alias("whole"))
+    crowd = _instead(crowd.join(merged, "comp", "left").select("g", "m", "node", F.coalesce("whole", "comp").alias("comp"), "n", "at"), "simhash-crowd", crowd)
+    open_ = crowd.groupBy("g").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("g")
+    rest = stored(grouped(crowd.join(open_, "g", "left_semi"), some, "g long, node long"), "simhash-some")
+    m = rest.groupBy("g").agg(F.count("*").alias("m"))
+    rest = _instead(_dealt(crowd.drop("m").join(rest, ["g", "node"]).join(m, "g"), chunk, "comp", "n"), "simhash-rest", rest, crowd, first)
+
+    def whole(rows: DataFrame) -> DataFrame:
+        ids = stored(rows.select(F.col("node").alias("own")).distinct(), "simhash-ids")
+        sets = stored(_sketches(own, ids, shingle), "simhash-sketches")
+        wide = rows.join(sets.withColumnRenamed("own", "node"), "node")
+        return _instead(mapped(together(wide), _runs(("node", "comp", "sketch"), forests), "u long, v long"), "simhash-found", sets, ids)
+
+    return _joined(found + _in_passes(rest, ["g", "ci", "cj"], "n", most, whole), none).distinct()
 
 
 def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float | None) -> DataFrame:

@@ -259,3 +259,65 @@ def test_recall_on_a_whole_table(spark):
     alike = [(i, j) for (i, j), c in common.items() if c >= 0.8 * (len(sets[i]) + len(sets[j]) - c)]
     comp = {r.id: r.component for r in simhash.similar_groups(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
     assert len(alike) > 30 and all(comp[i] == comp[j] for i, j in alike)
+
+
+def test_crowded_shingles_take_disk_for_what_can_be_similar_only(spark, monkeypatch):
+    """Texts put together from passages that many have: all shingles are crowded, few texts are alike."""
+    rng = np.random.default_rng(17)
+    passages = [" ".join(prose(rng, 40)) for _ in range(20)]
+    docs = []
+    for k in range(500):
+        own = [passages[j] for j in rng.choice(20, 5, replace=False)]
+        docs.append((2 * k, " ".join(own)))
+        if k % 50 == 0:
+            docs.append((2 * k + 1, " ".join([*own, *prose(rng, 15)])))  # alike
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    hashed = d.select("doc_id", F.xxhash64("text").alias("own"))
+    known = hashed.select("own").distinct().withColumn("comp", F.col("own"))
+    whole = {r.own: simhash.sketch(r.text.encode()) for r in d.select(F.xxhash64("text").alias("own"), "text").collect()}
+    own = sorted(whole)
+    alike = {(u, v) for k, v in enumerate(own) for u in own[:k] if simhash.resemblance(whole[u], whole[v]) >= 0.8}
+    stored, written = simhash.stored, []
+
+    def counted(df, name, *more):
+        out = stored(df, name, *more)
+        if name == "simhash-sketches":
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    found = {tuple(r) for r in simhash.similar_links(d, known, 0.8).collect()}
+    assert len(alike) >= 10 and found <= alike
+    assert connected(found, own) == connected(alike, own)
+    assert 0 < sum(written) < len(own) / 4  # whole sets
+
+
+def connected(pairs, nodes):
+    parent = {x: x for x in nodes}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return {x: root(x) for x in nodes}
+
+
+def test_histograms_refuse_no_similar_pair():
+    rng = np.random.default_rng(18)
+    taken = refused = 0
+    for _ in range(400):
+        n = int(rng.integers(1, 900))
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)
+        b = np.concatenate([a[: int(n * rng.uniform(0.4, 1))], rng.integers(0, 1 << 63, int(n * rng.uniform(0, 0.4))).astype(np.uint64) * np.uint64(2)])
+        a, b = np.unique(a), np.unique(b)
+        if not len(b):
+            continue
+        ok = bool(simhash.possible(*(np.frombuffer(simhash.histogram(x), np.uint8)[None] for x in (a, b)), np.array([len(a) + len(b)]), 0.8)[0])
+        alike = simhash.resemblance(a, b) >= 0.8
+        assert ok or not alike
+        taken, refused = taken + alike, refused + (not ok)
+    assert taken > 20 and refused > 100
