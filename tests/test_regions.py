@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridengine.operators import components as C
+from gridengine.operators import rangejoin
 from gridengine.operators.rangejoin import containing, overlapping
 from gridengine.plans.workspace import Workspace
 from gridengine.sources.lift import lift
@@ -120,3 +121,15 @@ def test_lifted_tables_have_regions(spark, sf):
 def test_no_cells(spark, tmp_path):
     w = Workspace.load(spark, made.write(tmp_path / "empty.xlsx", [made.Sheet("E")]))
     assert w.regions.count() == 0 and w.edges.count() == 0 and w.sheets.count() == 1 and w.warnings.count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_range_joins_with_many_ranges_build_nothing_on_the_driver(spark, monkeypatch, few):
+    """Whatever Spark guesses of their size: only counted tiles are broadcast."""
+    monkeypatch.setattr(rangejoin, "FEW", few)
+    ranges = spark.range(300).select(F.lit("b").alias("book"), F.lit("s").alias("sheet_lc"), F.col("id").alias("k"), F.col("id").cast("int").alias("r0"), F.lit(1).alias("c0"), (F.col("id") + F.col("id") % 40).cast("int").alias("r1"), F.lit(2).alias("c1"))
+    points = spark.range(300).select(F.lit("b").alias("book"), F.lit("s").alias("sheet_lc"), F.col("id").cast("int").alias("row"), F.lit(2).alias("col"))
+    got = containing(points, ranges)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert ("BroadcastHashJoin" in plan, "SortMergeJoin" in plan) == (few > 0, few == 0)
+    assert sorted((r.row, r.k) for r in got.collect()) == [(p, k) for p in range(300) for k in range(300) if k <= p <= k + k % 40]
