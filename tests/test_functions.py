@@ -95,3 +95,18 @@ def test_udfs(spark):
     rows = d.select(P.scan_udf("f", F.lit("S")).alias("x"), P.shifted_udf("f", F.lit("S"), "r", "c").alias("s"), P.relative_udf("f", F.lit("S"), "r", "c").alias("t")).collect()
     assert [r.raw for r in rows[0].x.refs] == ["A1", "B2"] and rows[0].s == "D4+E5" and rows[0].t == "R[-2]C[-2]+R[-1]C[-1]"
     assert rows[1].s is None and rows[1].t is None and rows[1].x.refs == []
+
+
+def test_rows_past_those_of_a_file(spark):
+    """A file ends at 1,048,576 rows, a lifted table does not."""
+    f = "SUM(D1048577:F12345678)+C1048577*$A$1048577"
+    assert [r.kind for r in P.scan(f, "S").refs] == ["name"] * 4
+    assert [(r.kind, r.range.text()) for r in P.scan(f, "S", A.GRID_ROWS).refs] == [("range", "S!D1048577:F12345678"), ("cell", "S!C1048577"), ("cell", "S!A1048577")]
+    assert P.scan("SUM(A:A)", "S", A.GRID_ROWS).refs[0].range.r1 == A.GRID_ROWS and P.scan("A2147483648", "S", A.GRID_ROWS).refs[0].kind == "name"
+    assert P.scan("S!9999999999:9999999999", "S", A.GRID_ROWS).refs == []
+    d = spark.createDataFrame([("AG$1007283:$BH12345678",)], "t string")
+    assert d.select(A.parse_local(F.col("t"))).first()[0] is None
+    assert tuple(d.select(A.parse_local(F.col("t"), A.GRID_ROWS)).first()[0]) == (1007283, 33, 12345678, 60, None)
+    d = d.select(F.lit(f).alias("f"))
+    got = d.select(P.scan_udf("f", F.lit("S"), A.GRID_ROWS)["refs"]["kind"], P.shifted_udf("f", F.lit("S"), F.lit(2), F.lit(1), A.GRID_ROWS), P.relative_udf("f", F.lit("S"), F.lit(1048577), F.lit(7), A.GRID_ROWS)).first()
+    assert list(got) == [["range", "cell", "cell"], "SUM(E1048579:G12345680)+D1048579*$A$1048577", "SUM(R[0]C[-3]:R[11297101]C[-1])+R[0]C[-4]*R1048577C1"]
