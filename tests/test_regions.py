@@ -133,3 +133,9 @@ def test_range_joins_with_many_ranges_build_nothing_on_the_driver(spark, monkeyp
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert ("BroadcastHashJoin" in plan, "SortMergeJoin" in plan) == (few > 0, few == 0)
     assert sorted((r.row, r.k) for r in got.collect()) == [(p, k) for p in range(300) for k in range(300) if k <= p <= k + k % 40]
+
+
+def test_a_column_with_more_values_than_are_told_apart_is_no_category(spark):
+    d = spark.range(30_000).select("id", F.concat(F.lit("n"), "id").alias("name"), F.concat(F.lit("k"), F.col("id") % 9_999).alias("kind"))
+    got = {c.header: (c.distinct, c.role) for c in Workspace.lifted(spark, lift(d, "S", ["id"])).region_columns.collect()}
+    assert got == {"id": (10_000, "measure"), "name": (10_000, "text"), "kind": (9_999, "category")}
