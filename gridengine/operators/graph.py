@@ -234,7 +234,7 @@ def _range_nodes(ws, ranges: DataFrame) -> DataFrame:
     counts = inside.groupBy(*own).agg(F.count("*").alias("n"), F.count("formula").alias("n_formula"))
     by_place = Window.partitionBy(*own).orderBy("place")
     some = inside.where("formula is not null").withColumn("k", F.row_number().over(by_place)).where(F.col("k") <= FORMULAS)
-    forms = some.withColumn("form", relative_udf("formula", "sheet", "row", "col")).groupBy(*own, "form").agg(F.count("*").alias("n"), F.min(F.struct("place", "row", "col", "formula")).alias("first"))
+    forms = some.join(F.broadcast(ws.row_limits), "book").withColumn("form", relative_udf("formula", "sheet", "row", "col", "max_rows")).groupBy(*own, "form").agg(F.count("*").alias("n"), F.min(F.struct("place", "row", "col", "formula")).alias("first"))
     top = forms.groupBy(*own).agg(F.max(F.struct("n", (-F.col("first.place")).alias("at"), F.col("first.row").alias("row"), F.col("first.col").alias("col"), F.col("first.formula").alias("formula"))).alias("rep"))
     told = counts.join(top, own, "left").select("book", "sheet_lc", *(F.col(a).alias(b) for a, b in zip(own[2:], ("r0", "c0", "r1", "c1"))), "n", "n_formula", "rep")
     out = ranges.join(told, key, "left")

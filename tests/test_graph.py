@@ -121,3 +121,13 @@ def test_overview_and_map(sample):
     assert o.externals == ["Budget.xlsx"] and [(n.name, n.ranges) for n in o.names] == [("TotalRevenue", ["Sales!$F$35"])] and o.formula_cells == 35 and "external workbook(s): Budget.xlsx" in o.warnings[0]
     m = {r.sheet: r for r in search.sheet_map(sample).collect()}
     assert m["Rates"].purpose == "reference mapping" and m["Sales"].regions[0].headers[0] == "Date" and m["Sales"].regions[0].rows == 30
+
+
+def test_formulas_past_the_rows_of_a_file(spark):
+    """Whether such addresses are cells depends on the book: one that has longer sheets than a file can is none."""
+    rows = [("long", 1_200_000, 1, None), ("long", 1_200_000, 2, "A1200000*2"), ("short", 1, 1, "A1200000*2")]
+    cells = spark.createDataFrame(rows, "book string, row int, col int, formula string")
+    cells = cells.select("book", F.lit("S").alias("sheet"), F.lit("s").alias("sheet_lc"), "row", "col", (F.col("row").cast("long") * 16_384 + F.col("col")).alias("ord"), F.lit("number").alias("type"), F.lit(1.0).alias("num"), *(F.lit(None).cast(t).alias(n) for n, t in (("str", "string"), ("bool", "boolean"), ("ts", "timestamp"))), "formula", F.lit(None).cast("boolean").alias("bold"))
+    w = Workspace(spark, cells)
+    assert {(r.book, r.kind, r.r0) for r in w.edges.collect()} == {("long", "cell", 1_200_000), ("short", "name", None)}
+    assert [(r.book, r.message) for r in w.warnings.collect()] == [("short", 'Formula(s) reference undefined name "A1200000" (first seen at S!A1)')]
