@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from gridengine.operators import components as C
 from gridengine.operators import rangejoin
 from gridengine.operators.rangejoin import containing, overlapping
+from gridengine.plans import tables
 from gridengine.plans.workspace import Workspace
 from gridengine.sources.lift import lift
 
@@ -139,3 +140,13 @@ def test_a_column_with_more_values_than_are_told_apart_is_no_category(spark):
     d = spark.range(30_000).select("id", F.concat(F.lit("n"), "id").alias("name"), F.concat(F.lit("k"), F.col("id") % 9_999).alias("kind"))
     got = {c.header: (c.distinct, c.role) for c in Workspace.lifted(spark, lift(d, "S", ["id"])).region_columns.collect()}
     assert got == {"id": (10_000, "measure"), "name": (10_000, "text"), "kind": (9_999, "category")}
+
+
+def test_cells_are_dealt_over_tasks_by_their_number(spark, monkeypatch):
+    """Not by bytes, of which Spark would put all of these into one task; what is found does not depend on it."""
+    found = lambda: Workspace.lifted(spark, lift(spark.range(900).select("id", (F.col("id") % 7).cast("string").alias("k")), "S", ["id"], at=(65_200, 1))).region_columns.drop("region_id").collect()
+    want = found()
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 100)
+    assert found() == want and [c.distinct for c in want] == [900, 7]
+    d = spark.range(900).select(F.lit("b").alias("book"), F.lit("s").alias("sheet_lc"), F.col("id").cast("int").alias("row"), F.lit(1).alias("col"), F.lit("string").alias("type"), F.lit("x").alias("str"), F.lit(None).cast("string").alias("formula"), F.lit(True).alias("direct"))
+    assert tables.tasks_for(900) == C.rectangles(d, 9).rdd.getNumPartitions() == 9
