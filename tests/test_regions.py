@@ -143,10 +143,9 @@ def test_a_column_with_more_values_than_are_told_apart_is_no_category(spark):
 
 
 def test_cells_are_dealt_over_tasks_by_their_number(spark, monkeypatch):
-    """Not by bytes, of which Spark would put all of these into one task; what is found does not depend on it."""
-    found = lambda: Workspace.lifted(spark, lift(spark.range(900).select("id", (F.col("id") % 7).cast("string").alias("k")), "S", ["id"], at=(65_200, 1))).region_columns.drop("region_id").collect()
-    want = found()
+    """Not by bytes, of which Spark would put all of these into one task."""
     monkeypatch.setattr(tables, "ROWS_A_TASK", 100)
-    assert found() == want and [c.distinct for c in want] == [900, 7]
-    d = spark.range(900).select(F.lit("b").alias("book"), F.lit("s").alias("sheet_lc"), F.col("id").cast("int").alias("row"), F.lit(1).alias("col"), F.lit("string").alias("type"), F.lit("x").alias("str"), F.lit(None).cast("string").alias("formula"), F.lit(True).alias("direct"))
-    assert tables.tasks_for(900) == C.rectangles(d, 9).rdd.getNumPartitions() == 9
+    rows = [("b", "s", k, 1, "string", "x", None, True) for k in range(900)]
+    d = spark.createDataFrame(rows, "book string, sheet_lc string, row int, col int, type string, str string, formula string, direct boolean")
+    plan = C.rectangles(d, tables.tasks_for(900))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 9), REPARTITION_BY_NUM") == plan.count("Exchange ") == 2
